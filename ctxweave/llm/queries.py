@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ctxweave.llm import jaccard_join
+from ctxweave.llm import jaccard_join, toxicity
 from ctxweave.runtime import prepare, table
 
 
@@ -15,8 +15,15 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_pairs(table(spark, sf_dir, "documents"), threshold=0.5, n=3)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {
