@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ctxweave.llm import decontaminate, jaccard_join, toxicity
+from ctxweave.llm import bpe, decontaminate, jaccard_join, toxicity
 from ctxweave.runtime import prepare, table
 
 
@@ -26,8 +26,14 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return bpe.encode(table(spark, sf_dir, "documents"), check=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_bpe": op5_bpe,
     "op7_decontaminate": op7_decontaminate,
     "op10_toxicity": op10_toxicity,
 }
