@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ctxweave.llm import bpe, decontaminate, jaccard_join, toxicity
+from ctxweave.llm import bpe, decontaminate, jaccard_join, secrets, toxicity
 from ctxweave.runtime import prepare, table
 
 
@@ -31,9 +31,15 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), check=True)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_bpe": op5_bpe,
+    "op6_secret_scan": op6_secret_scan,
     "op7_decontaminate": op7_decontaminate,
     "op10_toxicity": op10_toxicity,
 }
