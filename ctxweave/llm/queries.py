@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ctxweave.llm import bpe, decontaminate, jaccard_join, secrets, toxicity
+from ctxweave.llm import bpe, decontaminate, jaccard_join, quality, secrets, toxicity
 from ctxweave.runtime import prepare, table
 
 
@@ -36,11 +36,18 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_bpe": op5_bpe,
     "op6_secret_scan": op6_secret_scan,
     "op7_decontaminate": op7_decontaminate,
+    "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
 
