@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ctxweave.llm import bpe, decontaminate, jaccard_join, quality, secrets, toxicity
+from ctxweave.llm import bpe, decontaminate, jaccard_join, quality, secrets, substring_dedup, toxicity
 from ctxweave.runtime import prepare, table
 
 
@@ -42,11 +42,17 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_bpe": op5_bpe,
     "op6_secret_scan": op6_secret_scan,
     "op7_decontaminate": op7_decontaminate,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
