@@ -2,7 +2,8 @@
 
 A paragraph is a line. So that a passage is found wherever it was pasted, lines are
 also cut into segments at places that their words alone decide: after a word that ends
-a sentence or whose hash falls in one of a few classes. A pasted passage has the same
+a sentence or whose hash falls in a certain class, unless one of the two words before
+does so too. A pasted passage has the same
 inner segments in every line it stands in.
 
 1. Paragraphs get MinHash signatures over word n-grams in bands tuned to the threshold
@@ -66,8 +67,12 @@ class Pieces:
         head = np.flatnonzero(new_line)
         self.lines = np.stack([head, np.append(head[1:], n)], axis=1)
         last = w.raw[w.ends - 1]
+        stop = (last == 46) | (last == 33) | (last == 63) | (w.hashes % np.uint64(CLASSES) == 0)
+        cut = stop.copy()  # one word or two between stops are no segment of their own
+        cut[1:] &= ~stop[:-1]
+        cut[2:] &= ~stop[:-2]
         start = new_line.copy()
-        start[1:] |= ((last == 46) | (last == 33) | (last == 63) | (w.hashes % np.uint64(CLASSES) == 0))[:-1]
+        start[1:] |= cut[:-1]
         head = np.flatnonzero(start)
         self.segments = np.stack([head, np.append(head[1:], n)], axis=1)
         self.chars = np.cumsum((w.raw & 0xC0) != 0x80)
