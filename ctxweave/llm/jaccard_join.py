@@ -10,9 +10,12 @@ n-grams are 64-bit hashes).
 2. Sets order their grams from rare to frequent. Two similar sets share a gram of
    their prefixes, and the prefix of a set unlike all others holds unshared grams
    only, so it posts nothing. Prefix postings go to the gram's range: the index lists.
-3. An index list is blocked by its sets' first posted gram. A block whose first gram
-   is another list's skips all of its inner pairs at once: that other list has
-   them, at an earlier position. Size and position bounds discard more pairs.
+3. Every set has a few lead grams, those of its prefix with the least hashes. An index
+   list is blocked by its sets' first lead. A block whose first lead is another list's
+   gram skips all of its inner pairs at once, because that other list has them; so do
+   single pairs that share another lead of a lesser hash than the list's gram. A pair
+   is thus met in about one list, however many grams it shares. Size and position
+   bounds discard more pairs.
 4. Candidates meet in groups around a pivot, the least set each is paired with. Every
    other set is kept as its difference from the pivot, and overlaps of two sets derive
    from the pivot's by these differences only.
@@ -36,7 +39,7 @@ from ctxweave.runtime import prepare, shuffle_width
 
 _S1 = "r int, m long, kind int, a binary, b binary, c binary, d binary"
 _S2 = "m long, kind int, a binary, b binary, c binary, d binary"
-_S3 = "r int, kind int, set long, n int, a binary, b binary, c binary, d binary, e binary"
+_S3 = "r int, kind int, set long, n int, a binary, b binary, c binary, d binary, e binary, f binary"
 _FLUSH = 8_000_000
 
 
@@ -47,10 +50,11 @@ def _rows(columns: list[list], kinds: list[pa.DataType], names: list[str]) -> pa
 _B = pa.binary()
 _K1 = [pa.int32(), pa.int64(), pa.int32(), _B, _B, _B, _B]
 _K2 = [pa.int64(), pa.int32(), _B, _B, _B, _B]
-_K3 = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), _B, _B, _B, _B, _B]
+_K3 = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), _B, _B, _B, _B, _B, _B]
 _N1 = ["r", "m", "kind", "a", "b", "c", "d"]
 _N2 = ["m", "kind", "a", "b", "c", "d"]
-_N3 = ["r", "kind", "set", "n", "a", "b", "c", "d", "e"]
+_N3 = ["r", "kind", "set", "n", "a", "b", "c", "d", "e", "f"]
+_LEAD = 4
 
 
 def _sets(n: int, ranges: int):
@@ -152,7 +156,7 @@ def _prefixes(threshold: float):
     """Of one batch's sets: prefix postings, the contents of sets that post, and the members."""
 
     def run(table: pa.Table) -> pa.Table:
-        out = [[], [], [], [], [], [], [], [], []]
+        out = [[] for _ in _N3]
         cols = {k: table.column(k).to_pylist() for k in ("kind", "a", "b", "c", "d")}
         meta = [k for k, kind in enumerate(cols["kind"]) if kind == 1]
         own = [k for k, kind in enumerate(cols["kind"]) if kind == 0]
@@ -163,7 +167,7 @@ def _prefixes(threshold: float):
             for c, v in zip(out, row):
                 c.append(v)
 
-        put(0, 2, None, None, ids.tobytes(), sets[of].tobytes(), None, None, None)
+        put(0, 2, None, None, ids.tobytes(), sets[of].tobytes(), None, None, None, None)
         if own:
             token = np.concatenate([np.frombuffer(cols["a"][k], np.uint64) for k in own])
             owner = np.concatenate([np.frombuffer(cols["b"][k], np.uint32) for k in own]).astype(np.int64)
@@ -172,20 +176,26 @@ def _prefixes(threshold: float):
             token, owner = token[order], owner[order]
             shared = np.bincount(owner, minlength=len(sets))
             start = np.cumsum(shared) - shared
-            pos = np.arange(len(token)) - start[owner] + (n - shared)[owner]
+            rank = np.arange(len(token)) - start[owner]
+            pos = rank + (n - shared)[owner]
             length = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
             inside = pos < length[owner]
             posts = np.bincount(owner[inside], minlength=len(sets)) > 0
-            t1 = token[np.minimum(start, max(0, len(token) - 1))].astype(np.uint64)
+            short = grams.mix(token).astype(np.uint32)
+            by = np.flatnonzero(inside)
+            by = by[np.lexsort((short[by], owner[by]))]
+            nth = np.arange(len(by)) - np.searchsorted(owner[by], owner[by])
+            lead = np.full((len(sets), _LEAD), 0xFFFFFFFF, np.uint32)
+            lead[owner[by][nth < _LEAD], nth[nth < _LEAD]] = short[by][nth < _LEAD]
             r = (token[inside] >> np.uint64(32)).astype(np.int32)
             by = np.argsort(r, kind="stable")
-            r, tk, ow, ps = r[by], token[inside][by], owner[inside][by], pos[inside][by]
+            r, tk, ow, ps, rk = r[by], token[inside][by], owner[inside][by], pos[inside][by], rank[inside][by]
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(r)) + 1, [len(r)])) if len(r) else np.zeros(1, np.int64)
             for x, y in zip(cuts[:-1], cuts[1:]):
                 o = ow[x:y]
-                put(int(r[x]), 0, None, None, tk[x:y].tobytes(), sets[o].tobytes(), n[o].astype(np.uint32).tobytes(), ps[x:y].astype(np.uint32).tobytes(), t1[o].tobytes())
+                put(int(r[x]), 0, None, None, tk[x:y].tobytes(), sets[o].tobytes(), n[o].astype(np.uint32).tobytes(), ps[x:y].astype(np.uint32).tobytes(), rk[x:y].astype(np.uint32).tobytes(), lead[o].tobytes())
             for k in np.flatnonzero(posts):
-                put(None, 1, int(sets[k].astype(np.int64)), int(n[k]), np.sort(token[start[k] : start[k] + shared[k]]).tobytes(), None, None, None, None)
+                put(None, 1, int(sets[k].astype(np.int64)), int(n[k]), np.sort(token[start[k] : start[k] + shared[k]]).tobytes(), None, None, None, None, None)
         return pa.Table.from_batches([_rows(out, _K3, _N3)])
 
     return run
@@ -196,21 +206,21 @@ def _candidates(threshold: float, chunk: int = 4_000_000):
 
     def run(table: pa.Table) -> pa.Table:
         get = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()])
-        token, sets, n, pos, t1 = get("a", np.uint64), get("b", np.uint64), get("c", np.uint32).astype(np.int64), get("d", np.uint32).astype(np.int64), get("e", np.uint64)
-        order = np.lexsort((sets, n, t1, token))
-        token, sets, n, pos, t1 = token[order], sets[order], n[order], pos[order], t1[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (sets[1:] != sets[:-1])
-        token, sets, n, pos, t1 = token[new], sets[new], n[new], pos[new], t1[new]
+        token, sets, n, pos, rank = get("a", np.uint64), get("b", np.uint64), get("c", np.uint32).astype(np.int64), get("d", np.uint32).astype(np.int64), get("e", np.uint32).astype(np.int64)
+        lead = get("f", np.uint32).reshape(-1, _LEAD)
+        order = np.lexsort((sets, n, lead[:, 0], token))
+        order = order[np.concatenate(([True], (np.diff(token[order]) != 0) | (np.diff(sets[order]) != 0)))]
+        token, sets, n, pos, rank, lead = token[order], sets[order], n[order], pos[order], rank[order], lead[order]
         size = len(token)
         at = np.arange(size)
         fresh = np.ones(size, bool)
         fresh[1:] = token[1:] != token[:-1]
         block = fresh.copy()
-        block[1:] |= t1[1:] != t1[:-1]
+        block[1:] |= lead[1:, 0] != lead[:-1, 0]
         ends = lambda flags: np.append(np.flatnonzero(flags)[1:], size)[np.cumsum(flags) - 1]
         list_end, block_end = ends(fresh), ends(block)
-        begin = np.where(t1 == token, at + 1, block_end)
+        short = grams.mix(token).astype(np.uint32)
+        begin = np.where(lead[:, 0] == short, at + 1, block_end)
         many = np.maximum(list_end - begin, 0)
         names, local = np.unique(sets, return_inverse=True)
         found = np.zeros(0, np.uint64)
@@ -223,12 +233,16 @@ def _candidates(threshold: float, chunk: int = 4_000_000):
             done = stop
             if not len(i):
                 continue
-            ok = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9) & ((t1[i] != t1[j]) | (t1[i] == token[i]))
+            ok = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
             i, j = i[ok], j[ok]
             rest = np.minimum(n[i] - pos[i], n[j] - pos[j])
-            before = np.where((t1[i] == token[i]) | (t1[j] == token[i]), 0, np.minimum(pos[i], pos[j]))
             need = np.ceil(threshold / (1 + threshold) * (n[i] + n[j]) - 1e-9)
-            ok = rest + before >= need
+            ok = rest + np.minimum(rank[i], rank[j]) >= need
+            i, j = i[ok], j[ok]
+            ok = np.ones(len(i), bool)
+            for k in range(_LEAD):
+                for other in range(_LEAD):
+                    ok &= ~((lead[i, k] == lead[j, other]) & (lead[i, k] < short[i]))
             i, j = local[i[ok]].astype(np.uint64), local[j[ok]].astype(np.uint64)
             found = np.unique(np.concatenate((found, (np.minimum(i, j) << np.uint64(32)) | np.maximum(i, j))))
         a, b = names[(found >> np.uint64(32)).astype(np.int64)].astype(np.int64), names[(found & np.uint64(0xFFFFFFFF)).astype(np.int64)].astype(np.int64)
@@ -281,7 +295,7 @@ def set_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, doc_id: str =
     s1 = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).mapInArrow(_sets(n, ranges), _S1)
     s2 = s1.groupBy("r").applyInArrow(_frequencies, _S2)
     s3 = s2.groupBy("m").applyInArrow(_prefixes(threshold), _S3).checkpoint()
-    candidates = s3.where("kind = 0").select("r", "a", "b", "c", "d", "e").groupBy("r").applyInArrow(_candidates(threshold), "a long, b long").distinct().checkpoint()
+    candidates = s3.where("kind = 0").select("r", "a", "b", "c", "d", "e", "f").groupBy("r").applyInArrow(_candidates(threshold), "a long, b long").distinct().checkpoint()
     pivot = candidates.union(candidates.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p"))
     keyed = candidates.join(pivot, "a").select("p", "a", "b")
     needed = keyed.select("p", F.col("a").alias("set")).union(keyed.select("p", F.col("b").alias("set"))).distinct()
