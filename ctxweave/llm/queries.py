@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ctxweave.llm import bpe, decontaminate, jaccard_join, quality, secrets, substring_dedup, toxicity
+from ctxweave.llm import bpe, decontaminate, jaccard_join, quality, secrets, sharding, substring_dedup, toxicity
 from ctxweave.runtime import prepare, table
 
 
@@ -47,7 +47,13 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return sharding.shard(table(spark, sf_dir, "documents"), ["source"], spread=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sharding": op3_sharding,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_bpe": op5_bpe,
     "op6_secret_scan": op6_secret_scan,
