@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ctxweave.llm import bpe, decontaminate, jaccard_join, quality, secrets, sharding, substring_dedup, toxicity
+from ctxweave.llm import bpe, chat, decontaminate, jaccard_join, quality, secrets, sharding, substring_dedup, toxicity
 from ctxweave.runtime import prepare, table
 
 
@@ -52,7 +52,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), ["source"], spread=["doc_id"])
 
 
+def op2_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return chat.prefix_trees(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat_prefix_tree": op2_chat_prefix_tree,
     "op3_sharding": op3_sharding,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_bpe": op5_bpe,
