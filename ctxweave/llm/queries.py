@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ctxweave.llm import bpe, chat, decontaminate, jaccard_join, quality, secrets, sharding, substring_dedup, toxicity
+from ctxweave.llm import bpe, chat, decontaminate, jaccard_join, quality, secrets, sharding, substring_dedup, telephony, toxicity
 from ctxweave.runtime import prepare, table
 
 
@@ -57,7 +58,15 @@ def op2_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.prefix_trees(table(spark, sf_dir, "conversations"))
 
 
+def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds audio: the bytes of each document's text are the payload, its codec goes by doc_id."""
+    prepare(spark)
+    codec = F.element_at(F.array(*[F.lit(c) for c in telephony.CODECS]), (F.pmod("doc_id", F.lit(len(telephony.CODECS))) + 1).cast("int"))
+    return telephony.to_pcm(table(spark, sf_dir, "documents"), "doc_id", F.encode("text", "UTF-8"), codec)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_telephony": op1_telephony,
     "op2_chat_prefix_tree": op2_chat_prefix_tree,
     "op3_sharding": op3_sharding,
     "op4_jaccard_join": op4_jaccard_join,
