@@ -57,6 +57,17 @@ _N3 = ["r", "kind", "set", "n", "a", "b", "c", "d", "e", "f"]
 _LEAD = 4
 
 
+def _pack(count: np.ndarray) -> bytes:
+    """How many records each set has; most have few, so each takes about a byte once compressed."""
+    return count.astype(np.uint16).tobytes() if not len(count) or count.max() < 65536 else b"+" + count.astype(np.uint32).tobytes()
+
+
+def _owners(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(owner of each record, count of each set)."""
+    count = np.frombuffer(packed, np.uint16) if len(packed) % 2 == 0 else np.frombuffer(packed[1:], np.uint32)
+    return np.repeat(np.arange(len(count), dtype=np.int32), count), count
+
+
 def _sets(n: int, ranges: int):
     """Map: (id, text) to the postings of distinct sets, and which id has which set."""
 
@@ -79,9 +90,8 @@ def _sets(n: int, ranges: int):
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(r)) + 1, [len(r)]))
         out = [[], [], [], [], [], [], []]
         for x, y in zip(cuts[:-1], cuts[1:]):
-            mine = owner[x:y]
-            seen = mine[np.concatenate(([True], mine[1:] != mine[:-1]))]
-            for c, v in zip(out, (int(r[x]), m, 0, fp[x:y].tobytes(), mine.tobytes(), seen.tobytes(), sig[seen].tobytes())):
+            count = np.bincount(owner[x:y], minlength=len(sets))
+            for c, v in zip(out, (int(r[x]), m, 0, fp[x:y].tobytes(), _pack(count), sig[count > 0].tobytes(), None)):
                 c.append(v)
         for c, v in zip(out, (m % ranges, m, 1, ids.tobytes(), of.astype(np.uint32).tobytes(), sets.tobytes(), n_of.astype(np.uint32).tobytes())):
             c.append(v)
@@ -113,6 +123,11 @@ def _sets(n: int, ranges: int):
     return run
 
 
+def _level(df: np.ndarray) -> np.ndarray:
+    """A document frequency in one byte: exact to 64, by sixteenths of a doubling above. Only the order of grams hangs on it."""
+    return np.where(df <= 64, df, np.minimum(64 + 16 * np.log2(np.maximum(df, 1) / 64.0), 255)).astype(np.uint8)
+
+
 def _frequencies(table: pa.Table) -> pa.Table:
     """Of one range: grams of several sets, back to where they came from, with their number of sets."""
     out = [[], [], [], [], [], []]
@@ -123,14 +138,12 @@ def _frequencies(table: pa.Table) -> pa.Table:
             for c, v in zip(out, (cols["m"][k], 1, cols["a"][k], cols["b"][k], cols["c"][k], cols["d"][k])):
                 c.append(v)
             continue
-        owner = np.frombuffer(cols["b"][k], np.uint32)
-        seen = np.frombuffer(cols["c"][k], np.uint32)
+        owner, count = _owners(cols["b"][k])
         fps.append(np.frombuffer(cols["a"][k], np.uint32))
-        sigs.append(np.frombuffer(cols["d"][k], np.uint32)[np.searchsorted(seen, owner)])
-        owners.append(owner)
+        sigs.append(np.repeat(np.frombuffer(cols["c"][k], np.uint32), count[count > 0]))
+        owners.append((owner, len(count)))
         ms.append(cols["m"][k])
     if fps:
-        high = np.uint64(cols["r"][0]) << np.uint64(32)
         key = (np.concatenate(fps).astype(np.uint64) << np.uint64(32)) | np.concatenate(sigs)
         order = np.argsort(key)
         s = key[order]
@@ -142,12 +155,12 @@ def _frequencies(table: pa.Table) -> pa.Table:
         df_at = np.empty(len(s), np.uint32)
         df_at[order] = np.repeat(df, np.diff(np.concatenate((heads, [len(s)]))))
         x = 0
-        for m, f, o in zip(ms, fps, owners):
+        for m, f, (o, n) in zip(ms, fps, owners):
             d = df_at[x : x + len(f)]
             x += len(f)
             keep = d > 1
             if keep.any():
-                for c, v in zip(out, (m, 0, (f[keep] | high).tobytes(), o[keep].tobytes(), d[keep].tobytes(), None)):
+                for c, v in zip(out, (m, 0, f[keep].tobytes(), _pack(np.bincount(o[keep], minlength=n)), _level(d[keep]).tobytes(), int(cols["r"][0]).to_bytes(4, "little"))):
                     c.append(v)
     return pa.Table.from_batches([_rows(out, _K2, _N2)])
 
@@ -169,9 +182,9 @@ def _prefixes(threshold: float):
 
         put(0, 2, None, None, ids.tobytes(), sets[of].tobytes(), None, None, None, None)
         if own:
-            token = np.concatenate([np.frombuffer(cols["a"][k], np.uint64) for k in own])
-            owner = np.concatenate([np.frombuffer(cols["b"][k], np.uint32) for k in own]).astype(np.int64)
-            df = np.concatenate([np.frombuffer(cols["c"][k], np.uint32) for k in own])
+            token = np.concatenate([np.frombuffer(cols["a"][k], np.uint32).astype(np.uint64) | np.uint64(int.from_bytes(cols["d"][k], "little") << 32) for k in own])
+            owner = np.concatenate([_owners(cols["b"][k])[0] for k in own]).astype(np.int64)
+            df = np.concatenate([np.frombuffer(cols["c"][k], np.uint8) for k in own])
             order = np.lexsort((token, df, owner))
             token, owner = token[order], owner[order]
             shared = np.bincount(owner, minlength=len(sets))
@@ -189,13 +202,16 @@ def _prefixes(threshold: float):
             lead[owner[by][nth < _LEAD], nth[nth < _LEAD]] = short[by][nth < _LEAD]
             r = (token[inside] >> np.uint64(32)).astype(np.int32)
             by = np.argsort(r, kind="stable")
-            r, tk, ow, ps, rk = r[by], token[inside][by], owner[inside][by], pos[inside][by], rank[inside][by]
+            r, tk, ow, rk = r[by], token[inside][by], owner[inside][by], rank[inside][by]
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(r)) + 1, [len(r)])) if len(r) else np.zeros(1, np.int64)
             for x, y in zip(cuts[:-1], cuts[1:]):
-                o = ow[x:y]
-                put(int(r[x]), 0, None, None, tk[x:y].tobytes(), sets[o].tobytes(), n[o].astype(np.uint32).tobytes(), ps[x:y].astype(np.uint32).tobytes(), rk[x:y].astype(np.uint32).tobytes(), lead[o].tobytes())
+                o = ow[x:y]  # in order, for tokens were sorted by owner
+                count = np.bincount(o, minlength=len(sets))[posts]
+                here = np.flatnonzero(posts)[count > 0]
+                put(int(r[x]), 0, None, None, tk[x:y].astype(np.uint32).tobytes(), rk[x:y].astype(np.uint32).tobytes(), _pack(count[count > 0]), sets[here].tobytes(), np.stack([n, shared], axis=1)[here].astype(np.uint32).tobytes(), lead[here].tobytes())
             for k in np.flatnonzero(posts):
-                put(None, 1, int(sets[k].astype(np.int64)), int(n[k]), np.sort(token[start[k] : start[k] + shared[k]]).tobytes(), None, None, None, None, None)
+                t = np.sort(token[start[k] : start[k] + shared[k]])
+                put(None, 1, int(sets[k].astype(np.int64)), int(n[k]), t.astype(np.uint32).tobytes(), (t >> np.uint64(32)).astype(np.uint32).tobytes(), None, None, None, None)
         return pa.Table.from_batches([_rows(out, _K3, _N3)])
 
     return run
@@ -206,8 +222,12 @@ def _candidates(threshold: float, chunk: int = 4_000_000):
 
     def run(table: pa.Table) -> pa.Table:
         get = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()])
-        token, sets, n, pos, rank = get("a", np.uint64), get("b", np.uint64), get("c", np.uint32).astype(np.int64), get("d", np.uint32).astype(np.int64), get("e", np.uint32).astype(np.int64)
-        lead = get("f", np.uint32).reshape(-1, _LEAD)
+        token, rank = get("a", np.uint32), get("b", np.uint32).astype(np.int64)
+        count = np.concatenate([_owners(x)[1].astype(np.int64) for x in table.column("c").to_pylist()])
+        of = np.repeat(np.arange(len(count)), count)
+        sets, n_shared, lead = get("d", np.uint64)[of], get("e", np.uint32).reshape(-1, 2)[of].astype(np.int64), get("f", np.uint32).reshape(-1, _LEAD)[of]
+        n, pos = n_shared[:, 0], n_shared[:, 0] - n_shared[:, 1] + rank
+        token = token.astype(np.uint64) | np.uint64(table.column("r")[0].as_py() << 32)
         order = np.lexsort((sets, n, lead[:, 0], token))
         order = order[np.concatenate(([True], (np.diff(token[order]) != 0) | (np.diff(sets[order]) != 0)))]
         token, sets, n, pos, rank, lead = token[order], sets[order], n[order], pos[order], rank[order], lead[order]
@@ -255,7 +275,8 @@ def _verify(threshold: float):
     """Of one pivot's group: exact overlaps of the candidate pairs."""
 
     def run(members: pa.Table, pairs: pa.Table) -> pa.Table:
-        content = {s: (np.frombuffer(t, np.uint64), n) for s, t, n in zip(members.column("set").to_pylist(), members.column("a").to_pylist(), members.column("n").to_pylist())}
+        cols = (members.column(c).to_pylist() for c in ("set", "a", "b", "n"))
+        content = {s: (np.frombuffer(low, np.uint32).astype(np.uint64) | (np.frombuffer(high, np.uint32).astype(np.uint64) << np.uint64(32)), n) for s, low, high, n in zip(*cols)}
         out_a, out_b, out_o, out_j = [], [], [], []
         if content and pairs.num_rows:
             pivot = content[min(content)][0]
@@ -299,10 +320,10 @@ def set_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, doc_id: str =
     pivot = candidates.union(candidates.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p"))
     keyed = candidates.join(pivot, "a").select("p", "a", "b")
     needed = keyed.select("p", F.col("a").alias("set")).union(keyed.select("p", F.col("b").alias("set"))).distinct()
-    contents = s3.where("kind = 1").select("set", "n", "a").dropDuplicates(["set"])
-    grouped = needed.join(contents, "set").select("p", "set", "n", "a")
+    contents = s3.where("kind = 1").select("set", "n", "a", "b").dropDuplicates(["set"])
+    grouped = needed.join(contents, "set").select("p", "set", "n", "a", "b")
     again = keyed.select(F.col("p").alias("q"), F.col("a").alias("a"), F.col("b").alias("b"))
-    pairs = grouped.select(F.col("p").alias("k"), "set", "n", "a").groupBy("k").cogroup(again.groupBy("q")).applyInArrow(_verify(threshold), "a long, b long, overlap long, jaccard double").checkpoint()
+    pairs = grouped.select(F.col("p").alias("k"), "set", "n", "a", "b").groupBy("k").cogroup(again.groupBy("q")).applyInArrow(_verify(threshold), "a long, b long, overlap long, jaccard double").checkpoint()
     members = s3.where("kind = 2").select("a", "b").mapInArrow(_members, "doc_id long, set long").distinct()
     return pairs, members
 
