@@ -133,53 +133,68 @@ def windows(items: Items, least: int, k: np.ndarray, place: np.ndarray, n_words:
     return out
 
 
-def _align(items: Items, rare: np.ndarray, least: int, threshold: float, match: int, mismatch: int, gap: int, chunk: int = 2_000_000):
+def matches(items: Items, rare: np.ndarray, column: pa.Array, least: int, threshold: float, match: int, mismatch: int, gap: int, chunk: int = 2_000_000) -> list[tuple[int, int, float, int, int]]:
+    """(row, item, score, first word, end word) of each window of a column that reaches the threshold."""
+    todo = []
+    for at, text in grams.pieces(column):
+        w = grams.words(text)
+        g, rows = grams.ngrams(w, items.n)
+        p, k = items.find(g)
+        p, k = p[rare[k]], k[rare[k]]
+        if not len(p):
+            continue
+        row, place = rows[p], p - np.searchsorted(rows, rows[p])
+        heads = np.append(np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))), len(row))
+        for x, y in zip(heads[:-1], heads[1:]):
+            r = int(row[x])
+            words = w.hashes[w.first[r] : w.first[r + 1]]
+            for item, begin, end in windows(items, least, k[x:y], place[x:y], len(words)):
+                todo.append((end - begin, len(items.words[item]), at + r, item, begin, words[begin:end]))
+    todo.sort(key=lambda t: (t[0], t[1]))
+    out = []
+    k = 0
+    while k < len(todo):
+        j = k + 1
+        while j < len(todo) and (j - k + 1) * todo[j][0] <= chunk and todo[j][0] <= 2 * todo[k][0] + 16:
+            j += 1
+        part = todo[k:j]
+        k = j
+        wide, tall = max(t[0] for t in part), max(t[1] for t in part)
+        b_words, a_words = np.zeros((len(part), wide), np.uint64), np.zeros((len(part), tall), np.uint64)
+        for r, t in enumerate(part):
+            b_words[r, : t[0]] = t[5]
+            a_words[r, : t[1]] = items.words[t[3]]
+        a_len, b_len = np.array([t[1] for t in part]), np.array([t[0] for t in part])
+        best, end = smith_waterman(a_words, b_words, b_len, a_len, match, mismatch, gap)
+        score = best / (match * a_len)
+        for r in np.flatnonzero(score >= threshold):
+            t = part[r]
+            e = int(end[r])
+            out.append((t[2], t[3], float(score[r]), t[4] + align_start(items.words[t[3]], t[5], e, match, mismatch, gap), t[4] + e))
+    return sorted(out)
+
+
+def _align(items: Items, rare: np.ndarray, *how):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pc.is_valid(b.column(0)))
-            todo = []
-            for at, text in grams.pieces(b.column(1)):
-                w = grams.words(text)
-                g, rows = grams.ngrams(w, items.n)
-                p, k = items.find(g)
-                p, k = p[rare[k]], k[rare[k]]
-                if not len(p):
-                    continue
-                row, place = rows[p], p - np.searchsorted(rows, rows[p])
-                ids = b.column(0).slice(at, len(text)).to_pylist()
-                heads = np.append(np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))), len(row))
-                for x, y in zip(heads[:-1], heads[1:]):
-                    r = int(row[x])
-                    words = w.hashes[w.first[r] : w.first[r + 1]]
-                    for item, begin, end in windows(items, least, k[x:y], place[x:y], len(words)):
-                        todo.append((end - begin, len(items.words[item]), ids[r], item, begin, words[begin:end]))
-            todo.sort(key=lambda t: (t[0], t[1]))
-            out = []
-            k = 0
-            while k < len(todo):
-                j = k + 1
-                while j < len(todo) and (j - k + 1) * todo[j][0] <= chunk and todo[j][0] <= 2 * todo[k][0] + 16:
-                    j += 1
-                part = todo[k:j]
-                k = j
-                wide, tall = max(t[0] for t in part), max(t[1] for t in part)
-                b_words, a_words = np.zeros((len(part), wide), np.uint64), np.zeros((len(part), tall), np.uint64)
-                for r, t in enumerate(part):
-                    b_words[r, : t[0]] = t[5]
-                    a_words[r, : t[1]] = items.words[t[3]]
-                a_len, b_len = np.array([t[1] for t in part]), np.array([t[0] for t in part])
-                best, end = smith_waterman(a_words, b_words, b_len, a_len, match, mismatch, gap)
-                score = best / (match * a_len)
-                for r in np.flatnonzero(score >= threshold):
-                    t = part[r]
-                    e = int(end[r])
-                    out.append((t[2], int(items.ids[t[3]]), float(score[r]), t[4] + align_start(items.words[t[3]], t[5], e, match, mismatch, gap), t[4] + e))
+            ids = b.column(0).to_pylist()
+            out = [(ids[r], int(items.ids[item]), *rest) for r, item, *rest in matches(items, rare, b.column(1), *how)]
             cols = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "score", "start_word", "end_word"])
 
     return run
 
 
+def _clean(items: Items, rare: np.ndarray, at: int, *how):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            keep[[m[0] for m in matches(items, rare, b.column(at), *how)]] = False
+            yield b.filter(pa.array(keep))
+
+    return run
+
+
 def read_items(benchmark: DataFrame, n: int = N, most: int = 64_000_000) -> Iterator[Items]:
     """The test items, in as many parts as keep the texts of each near `most` bytes."""
     b = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null and t is not null").distinct()
@@ -189,6 +204,20 @@ def read_items(benchmark: DataFrame, n: int = N, most: int = 64_000_000) -> Iter
         yield Items(got.column("i").to_pylist(), got.column("t").to_pylist(), n)
 
 
+def seeded(docs: DataFrame, benchmark: DataFrame, n: int, share: float, text: str = "text") -> Iterator[tuple[Items, np.ndarray]]:
+    """Each part of the items with its rare grams, by one count over all documents."""
+    texts = docs.select(F.col(text).cast("string").alias("t")).where("t is not null")
+    total = None
+    for items in read_items(benchmark, n):
+        if not len(items.distinct):
+            continue
+        total = texts.count() if total is None else total
+        counts = texts.mapInArrow(_document_counts(items), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+        df = np.zeros(len(items.distinct), np.int64)
+        df[counts.column("gram").to_numpy()] = counts.column("n").to_numpy()
+        yield items, rare_seeds(items, df, total, share)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = N, share: float = SHARE, least: int = LEAST, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP) -> DataFrame:
     """Where documents hold test items, whole, edited or in good part: RESULT, best alignment of each window.
 
@@ -203,18 +232,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """
     spark = prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null and t is not null")
-    total = texts.count()
-    parts = []
-    for items in read_items(benchmark, n):
-        if not len(items.distinct):
-            continue
-        counts = texts.select("t").mapInArrow(_document_counts(items), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-        df = np.zeros(len(items.distinct), np.int64)
-        df[counts.column("gram").to_numpy()] = counts.column("n").to_numpy()
-        parts.append(texts.mapInArrow(_align(items, rare_seeds(items, df, total, share), least, threshold, match, mismatch, gap), RESULT))
+    parts = [texts.mapInArrow(_align(items, rare, least, threshold, match, mismatch, gap), RESULT) for items, rare in seeded(texts, benchmark, n, share, "t")]
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], RESULT)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = N, share: float = SHARE, least: int = LEAST, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP, text: str = "text") -> DataFrame:
+    """The rows that hold no test item, with all their columns; rows of null text stay."""
+    prepare(docs.sparkSession)
+    at, out = docs.columns.index(text), docs
+    for items, rare in seeded(docs, benchmark, n, share, text):
+        out = out.mapInArrow(_clean(items, rare, at, least, threshold, match, mismatch, gap), docs.schema)
+    return out
+
+
 def rare_seeds(items: Items, df: np.ndarray, total: int, share: float) -> np.ndarray:
     """Which distinct grams seed.
 

@@ -354,3 +354,15 @@ def duplicates(docs: DataFrame, threshold: float = 0.5, n: int = 3, doc_id: str
     of = members.join(component, members["set"] == component["id"], "left").select("doc_id", F.coalesce("component", "set").alias("g"))
     keep = of.groupBy("g").agg(F.min("doc_id").alias("keep"), F.count("*").alias("c")).where("c > 1").select("g", "keep")
     return of.join(keep, "g").groupBy("doc_id").agg(F.min("keep").alias("keep")).where("doc_id > keep")
+
+
+def drop_duplicates(docs: DataFrame, threshold: float = 0.5, n: int = 3, doc_id: str = "doc_id", text: str = "text", most: int = 1_000_000) -> DataFrame:
+    """The rows of docs but those that duplicates() names, with all their columns.
+
+    Rows with a null id stay. Up to `most` ids to drop, 8 bytes each, are sent to every
+    task; more are joined by a shuffle.
+    """
+    gone = duplicates(docs, threshold, n, doc_id, text).select(F.col("doc_id").alias("__gone")).checkpoint()
+    if gone.count() <= most:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
