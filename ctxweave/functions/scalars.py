@@ -10,6 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SESSION_ID = r"^[a-zA-Z0-9_-]{1,128}$"
 USER_ID = r"^[a-zA-Z0-9_@.\-]{1,256}$"
@@ -197,7 +198,7 @@ def parse_frontmatter(text: str | None) -> dict[str, str | list[str]]:
     return out
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def frontmatter(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """parse_frontmatter as a column; lists are JSON."""
     for s in texts:
