@@ -17,7 +17,7 @@ def strip_html(x: str | Column) -> Column:
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(name), F.lit(char))
     c = F.regexp_replace(c, r"[ \t\x0B\f\r]+", " ")
-    return F.trim(F.regexp_replace(c, r" ?\n[ \n]*", "\n"))
+    return F.regexp_replace(F.regexp_replace(c, r" ?\n[ \n]*", "\n"), r"^\s+|\s+$", "")
 
 
 def split_chunks(docs: DataFrame, key: str, text: str, separator: str = "\n", size: int | None = None) -> DataFrame:

@@ -101,10 +101,10 @@ class VersionedTable:
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def version(self) -> int | None:
-        at = self._path(f"{self.path}/_current")
+        at = self._path(f"{self.path}/CURRENT")
         if not self._fs.exists(at):
             return None
-        return int(self.spark.read.text(f"{self.path}/_current").first()[0])
+        return int(self.spark.read.text(f"{self.path}/CURRENT").first()[0])
 
     def read(self) -> DataFrame:
         v = self.version()
@@ -119,7 +119,7 @@ class VersionedTable:
         if now is not None and new <= now:
             return now
         df.write.mode("overwrite").parquet(f"{self.path}/v{new}")
-        temp, to = self._path(f"{self.path}/_next"), self._path(f"{self.path}/_current")
+        temp, to = self._path(f"{self.path}/NEXT"), self._path(f"{self.path}/CURRENT")
         out = self._fs.create(temp, True)
         out.write(bytearray(f"{new}\n".encode()))
         out.close()
