@@ -133,3 +133,28 @@ def graph_rag(nodes: DataFrame, edges: DataFrame, query: list[float], wanted: Da
     seeds = knn(nodes, query, k, id_column=id_column).select(F.col(id_column).alias("id"))
     reached = pattern.bfs(edges, seeds, hops).where("distance > 0").select("id").join(wanted.select(F.col(wanted.columns[0]).alias("id")).distinct(), "id", "left_semi")
     return reached.join(pattern.degree(edges), "id").orderBy(F.desc("degree"), "id").limit(top)
+
+
+def lsh_index(vectors: DataFrame, dims: int, id_column: str = "id", embedding: str = "embedding", tables: int = 8, bits: int = 12, seed: int = 7) -> DataFrame:
+    """(bucket, id): sign bits of random projections, a bucket a table. A derived index to look candidates up in, by a join on bucket."""
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, dims))
+
+    @F.pandas_udf("array<bigint>")
+    def buckets(series: pd.Series) -> pd.Series:
+        if not len(series):
+            return pd.Series([], dtype=object)
+        v = np.stack([np.zeros(dims) if x is None else np.asarray(x, np.float64) for x in series])
+        signs = np.einsum("tbd,nd->ntb", planes, v) > 0
+        code = (signs * (1 << np.arange(bits))).sum(axis=2) + (np.arange(tables) << bits)
+        return pd.Series(list(code.astype(np.int64)))
+
+    return vectors.where(F.col(embedding).isNotNull()).select(F.explode(buckets(embedding)).alias("bucket"), F.col(id_column).alias("id"))
+
+
+def knn_lsh(vectors: DataFrame, index: DataFrame, query_vectors: DataFrame, dims: int, k: int = 5, id_column: str = "id", embedding: str = "embedding", **how: int) -> DataFrame:
+    """knn_batch among the candidates that share a bucket with the query: approximate, and a join instead of all pairs."""
+    q = lsh_index(query_vectors, dims, "query_id", embedding, **how).withColumnRenamed("id", "query_id")
+    pairs = q.join(index, "bucket").select("query_id", "id").distinct()
+    scored = pairs.join(vectors.select(F.col(id_column).alias("id"), F.col(embedding).alias("v")), "id").join(query_vectors.select("query_id", F.col(embedding).alias("q")), "query_id").select("query_id", "id", cosine("v", "q").alias("distance"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("distance"), "id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -341,3 +341,43 @@ def match_tables(labels: list[str], tables: list[str]) -> dict[str, str | None]:
         x = bare(label)
         out[label] = next((t for test in (lambda t: bare(t) == x, lambda t: single(bare(t)) == single(x), lambda t: x in bare(t) or bare(t) in x) for t in sorted(tables) if test(t)), None)
     return out
+
+
+def changes(old: GraphModel | None, new: GraphModel) -> dict[str, list[str]]:
+    """Reasons, by source table, why a table's part of the model differs; tables that don't aren't listed."""
+    out: dict[str, list[str]] = {}
+    before = {n.source: n for n in old.nodes} if old else {}
+    for n in new.nodes:
+        was, reasons = before.pop(n.source, None), []
+        if was is None:
+            reasons.append("new")
+        else:
+            added, gone = {p.name for p in n.properties} - {p.name for p in was.properties}, {p.name for p in was.properties} - {p.name for p in n.properties}
+            reasons += [f"added {x}" for x in sorted(added)] + [f"removed {x}" for x in sorted(gone)]
+            reasons += ["labels changed"] if sorted(n.labels) != sorted(was.labels) else []
+            reasons += ["key changed"] if n.key != was.key else []
+            types = {p.name: p.type for p in was.properties}
+            reasons += [f"type of {p.name} changed" for p in n.properties if p.name in types and types[p.name] != p.type]
+        if reasons:
+            out[n.source] = reasons
+    out |= {t: ["dropped"] for t in before}
+    old_edges = {e.key: e for e in old.edges} if old else {}
+    for e in new.edges:
+        if old_edges.get(e.key) != e:
+            out.setdefault(e.source, []).append(f"edge {e.type} " + ("new" if e.key not in old_edges else "changed"))
+    return out
+
+
+def review(old: GraphModel | None, new: GraphModel, accept) -> GraphModel:
+    """The old model with the changed tables' parts that `accept(table, reasons)` takes; unchanged tables aren't asked about."""
+    why = changes(old, new)
+    taken = {t for t, reasons in why.items() if accept(t, reasons)}
+    base = deepcopy(old) if old else GraphModel()
+    side = lambda m, t: GraphModel([n for n in m.nodes if n.source == t], [e for e in m.edges if e.source == t], *[[x for x in xs if any(x.labels == n.labels for n in m.nodes if n.source == t)] for xs in (m.indexes, m.constraints)])
+    for t in taken:
+        mine = side(base, t)
+        base.nodes = [n for n in base.nodes if n.source != t]
+        base.edges = [e for e in base.edges if e.source != t]
+        base.indexes = [i for i in base.indexes if i not in mine.indexes]
+        base.constraints = [c for c in base.constraints if c not in mine.constraints]
+    return merge_models([base, *[side(new, t) for t in sorted(taken, key=str)]])

@@ -12,12 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ctxweave.functions import procedures
 from ctxweave.functions import scalars as S
-from ctxweave.operators import analytics, chunks, evals, graph_documents, pattern, skills, stores, text_search, vector, write
+from ctxweave.operators import analytics, chunks, entities, evals, graph_documents, pattern, skills, stores, text_search, vector, write
 from ctxweave.plans import ingest, schema
 from ctxweave.plans.catalogue import Catalogue
 from ctxweave.plans.model import GraphModel, model_tables
 from ctxweave.runtime import prepare, table
+from ctxweave.streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -577,3 +579,95 @@ def q64(spark, d):
     rel = F.struct(node(F.col("source"), "Source").alias("source"), node(F.col("lang"), "Language").alias("target"), F.lit("written in").alias("type"), none.alias("properties"))
     g = docs.select(F.array(node(F.col("source"), "Source")).alias("nodes"), F.array(rel).alias("relationships"), F.struct(F.col("text").alias("page_content"), none.alias("metadata")).alias("source"))
     return graph_documents.ingest(g)["nodes"].select("id", "type")
+
+
+# --- events, procedures, entities ---
+
+
+def tool_events(spark: SparkSession, d: str) -> DataFrame:
+    """Each row of `events` as a hook payload of a tool's start and one of its end."""
+    e = table(spark, d, "events")
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    payload = lambda hook: F.to_json(F.struct(F.lit(hook).alias("hook_event_name"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), at.alias("timestamp"), F.col("event_type").alias("tool_name"), F.col("event_id").cast("string").alias("tool_use_id")))
+    failed = F.get_json_object("props", "$.k").cast("int") < 10
+    return e.select(F.explode(F.array(payload("PreToolUse"), F.when(failed, payload("PostToolUseFailure")).otherwise(payload("PostToolUse")))).alias("value"))
+
+
+def event_actions(spark: SparkSession, d: str) -> DataFrame:
+    return events.to_actions(events.from_payloads(tool_events(spark, d), "command_a"))
+
+
+ACTION_ID = "substr(sha256('u' || user_id || chr(0) || '{}' || chr(0) || event_id), 1, 32)"
+
+
+@query("q65_event_to_action", f"""SELECT {ACTION_ID.format('tool_call')} AS action_id, 'u' || user_id AS session_id, 'tool_call' AS action_type, event_type AS tool_name, 'completed' AS status, NULL AS parent_action_id FROM events
+    UNION ALL SELECT {ACTION_ID.format('tool_result')}, 'u' || user_id, 'tool_result', event_type, CASE WHEN {FAILED} THEN 'failed' ELSE 'completed' END, {ACTION_ID.format('tool_call')} FROM events""")
+def q65(spark, d):
+    return event_actions(spark, d).select("action_id", "session_id", "action_type", "tool_name", "status", "parent_action_id")
+
+
+@query("q66_action_graph_parents", f"SELECT {ACTION_ID.format('tool_call')} AS parent, {ACTION_ID.format('tool_result')} AS child FROM events")
+def q66(spark, d):
+    return events.graph_of(event_actions(spark, d))["parent_of"]
+
+
+@query("q67_sessions_of_events", "SELECT 'u' || user_id AS session_id, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS started_at, 'active' AS status FROM events GROUP BY user_id")
+def q67(spark, d):
+    return events.sessions_of(events.from_payloads(tool_events(spark, d), "command_a")).select("session_id", "started_at", "status")
+
+
+@query("q68_tool_stats_with_results", f"SELECT event_type AS tool_name, count(*) AS call_count, CAST(sum(CASE WHEN {FAILED} THEN 1 ELSE 0 END) AS BIGINT) AS error_count FROM events GROUP BY 1")
+def q68(spark, d):
+    a = event_actions(spark, d)
+    calls = a.where("action_type = 'tool_call'").select("session_id", "tool_use_id", "tool_name", F.lit(None).cast("double").alias("duration_ms"), "status")
+    results = a.where("action_type = 'tool_result'").select("tool_use_id", "is_error", F.lit(None).cast("double").alias("duration_ms"))
+    return analytics.tool_stats_with_results(calls, results).select("tool_name", "call_count", "error_count")
+
+
+@query("q69_procedures_by_pattern", "SELECT * FROM (VALUES ('vector_search.search', '(vectors, query, k, threshold) :: (id, distance)'), ('vector_search.search_batch', '(vectors, queries, k) :: (query_id, id, distance, rank)')) t(name, signature)")
+def q69(spark, d):
+    return procedures.standard().listing(spark, r"vector_search\..*")
+
+
+@query("q70_chunk_entities")
+def q70(spark, d):
+    return entities.extract(chunks.chunk_nodes(line_chunks(spark, d), "doc_id"))["entities"]
+
+
+@query("q71_label_sets_equal", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a, nation b WHERE a.n_nationkey < b.n_nationkey AND list_sort(list_distinct([a.n_regionkey, a.n_nationkey % 3])) = list_sort(list_distinct([b.n_regionkey, b.n_nationkey % 3]))")
+def q71(spark, d):
+    n = table(spark, d, "nation").select("n_nationkey", F.array("n_regionkey", F.col("n_nationkey") % 3).alias("l"))
+    pairs = n.select(F.col("n_nationkey").alias("a"), F.col("l").alias("x")).crossJoin(F.broadcast(n.select(F.col("n_nationkey").alias("b"), F.col("l").alias("y"))))
+    return pairs.where("a < b").where(pattern.same_labels("x", "y")).select("a", "b")
+
+
+@query("q72_property_keys", "SELECT event_type AS label, list_sort(list_distinct(list(CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END))) AS properties FROM events GROUP BY 1")
+def q72(spark, d):
+    rows = table(spark, d, "events").select("event_type", F.create_map(F.when(F.col("event_id") % 2 == 0, "even").otherwise("odd"), F.lit("1")).alias("m"))
+    return schema.property_keys(rows, "event_type", "m")
+
+
+@query("q73_primary_type", "WITH p AS (SELECT lang AS label, CASE WHEN n_chars % 3 = 0 THEN 'Null' WHEN n_chars % 3 = 1 THEN 'Integer' ELSE 'String' END AS type, count(*) AS n FROM documents GROUP BY 1, 2) SELECT label, 'n' AS property, arg_min(type, (-n, type)) AS type FROM p WHERE type <> 'Null' GROUP BY 1")
+def q73(spark, d):
+    kind = F.when(F.col("n_chars") % 3 == 0, "Null").when(F.col("n_chars") % 3 == 1, "Integer").otherwise("String")
+    rows = table(spark, d, "documents").select("lang", F.lit("n").alias("p"), kind.alias("t"))
+    return schema.primary_type(schema.typed_profile(rows, "lang", "p", "t"))
+
+
+@query("q74_doc_lookup", f"SELECT * FROM ({DOC_STATUS}) WHERE track_id = 'src4' UNION ALL (SELECT * FROM ({DOC_STATUS}) WHERE file_path = 'fr' ORDER BY id LIMIT 1)")
+def q74(spark, d):
+    docs = doc_status(spark, d)
+    return stores.docs_by_track(docs, "src4").union(stores.doc_by(docs, "file_path", "fr"))
+
+
+@query("q75_vector_upsert_delete", "SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN label + 100 ELSE label END AS label FROM embeddings WHERE vec_id % 5 <> 0")
+def q75(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    new = e.where("id % 2 = 0").select("id", (F.col("label") + 100).alias("label"), F.lit(1).alias("at"))
+    return write.delete(vector.upsert(e, new, ["at"]), e.where("id % 5 = 0").select("id"), ["id"])
+
+
+@query("q76_constraint_violations", "SELECT 'Lineitem' AS label, 'unique' AS kind, 'l_orderkey,l_linenumber' AS properties, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)")
+def q76(spark, d):
+    m, _, f = star_model(spark, d)
+    return ingest.constraint_violations(m, {n.label: f[n.source] for n in m.nodes}, spark)

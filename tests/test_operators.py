@@ -222,3 +222,32 @@ def test_graph_documents(spark):
     assert {r["id"] for r in g["nodes"].collect()} == {"lonely", "a", "b"} and g["nodes"].first()["labels"] == ["Entity", "T"]
     assert rows(g["edges"]) == [("a", "LIKES_TO", "b")]
     assert [r["id"] for r in g["mentions"].collect()] == ["a"]
+
+
+def test_procedures(spark):
+    from ctxweave.functions.procedures import standard
+
+    p = standard()
+    assert p.listing(spark).count() == 9 and p.listing(spark, "graph").count() == 0 and p.listing(spark, r"graph\..*").count() == 2
+    assert p.call("graph.degree", spark.createDataFrame([(1, 2)], "src long, dst long")).count() == 2
+    with pytest.raises(LookupError):
+        p.call("nothing")
+
+
+def test_entities(spark):
+    from ctxweave.operators import entities
+
+    c = spark.createDataFrame([("h", "Ada Lovelace met Charles Babbage. Nothing else."), ("e", None)], "hash string, text string")
+    g = entities.extract(c)
+    assert {r["name"] for r in g["entities"].collect()} == {"Ada Lovelace", "Charles Babbage"} and rows(g["relations"].select("src", "dst")) == [("Ada Lovelace", "Charles Babbage")]
+    linked = chunks.mentioned_in(g["entities"], c)
+    assert linked.count() == 2
+
+
+def test_lsh_finds_near_vectors(spark):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(200, 16))
+    v = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(m)], "id long, embedding array<double>")
+    q = spark.createDataFrame([(k, (m[k] + rng.normal(size=16) * 0.05).tolist()) for k in range(20)], "query_id long, embedding array<double>")
+    got = vector.knn_lsh(v, vector.lsh_index(v, 16, bits=8), q, 16, 1, bits=8).collect()
+    assert sum(r["query_id"] == r["id"] for r in got) >= 18

@@ -133,3 +133,13 @@ def test_sources(spark, tmp_path, data):
     assert readers.read(spark, "text", path=str(tmp_path)).first()["text"] == "x\ny"
     assert readers.read(spark, "payloads", path=str(tmp_path)).count() == 0
     assert readers.sample(spark.range(9), 0).count() == 0
+
+
+def test_changes_and_review():
+    old = M.model_tables(shop())
+    new = M.add_property(M.drop_property(old, "Orders", "total"), "Orders", "note")
+    assert M.changes(old, old) == {} and M.changes(old, new) == {"orders": ["added note", "removed total"]}
+    asked = []
+    assert M.changes(M.review(old, new, lambda t, why: asked.append(t) or False), old) == {} and asked == ["orders"]
+    assert [p.name for p in M.review(old, new, lambda *_: True).node("Orders").properties] == ["id", "note"]
+    assert set(M.changes(None, old)) == {"customers", "orders", "tags", "order_tags"}
