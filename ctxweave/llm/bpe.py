@@ -24,11 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ctxweave.llm.grams import release
 from ctxweave.runtime import prepare
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-SHORT, KEPT = 64, 1_000_000
+SHORT, KEPT = 64, 500_000
 _NONE = np.int32(0x7FFFFFFF)
 
 
@@ -227,7 +228,7 @@ def encoder(path: str = RANKS, pattern: str = PATTERN) -> Encoder:
     return Encoder(path, pattern)
 
 
-def _groups(texts: list, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def _groups(texts: list, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     k, held = 0, 0
     for j, t in enumerate(texts):
         held += len(t or "")
@@ -253,6 +254,8 @@ def _encode(path: str, pattern: str, check: bool):
                 count = pa.array([None if g is None else len(g) for g in got], pa.int32())
                 same = pa.array([None if g is None else enc.decode(g) == t for g, t in zip(got, texts[x:y])] if check else [None] * (y - x), pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), ids, count, same], names=["doc_id", "tokens", "n_tokens", "round_trip"])
+        enc.known.clear()  # a worker process outlives its tasks and may serve other stages next
+        release()
 
     return run
 

@@ -102,6 +102,7 @@ def _document_counts(items: Items):
                 pairs = np.unique(rows[p] * len(counts) + k) if len(p) else p
                 counts += np.bincount(pairs % max(1, len(counts)), minlength=len(counts))
         some = np.flatnonzero(counts)
+        grams.release()
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["gram", "n"])
 
     return run
@@ -133,7 +134,7 @@ def windows(items: Items, least: int, k: np.ndarray, place: np.ndarray, n_words:
     return out
 
 
-def matches(items: Items, rare: np.ndarray, column: pa.Array, least: int, threshold: float, match: int, mismatch: int, gap: int, chunk: int = 2_000_000) -> list[tuple[int, int, float, int, int]]:
+def matches(items: Items, rare: np.ndarray, column: pa.Array, least: int, threshold: float, match: int, mismatch: int, gap: int, chunk: int = 500_000) -> list[tuple[int, int, float, int, int]]:
     """(row, item, score, first word, end word) of each window of a column that reaches the threshold."""
     todo = []
     for at, text in grams.pieces(column):
@@ -181,6 +182,7 @@ def _align(items: Items, rare: np.ndarray, *how):
             out = [(ids[r], int(items.ids[item]), *rest) for r, item, *rest in matches(items, rare, b.column(1), *how)]
             cols = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "score", "start_word", "end_word"])
+        grams.release()
 
     return run
 
@@ -191,6 +193,7 @@ def _clean(items: Items, rare: np.ndarray, at: int, *how):
             keep = np.ones(b.num_rows, bool)
             keep[[m[0] for m in matches(items, rare, b.column(at), *how)]] = False
             yield b.filter(pa.array(keep))
+        grams.release()
 
     return run
 

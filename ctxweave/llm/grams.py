@@ -7,6 +7,7 @@ bytes, so no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -124,7 +125,7 @@ def unique_per_row(values: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[n
     return v, np.searchsorted(r, np.arange(n_rows + 1))
 
 
-def pieces(column: pa.Array, most: int = 4 << 20):
+def pieces(column: pa.Array, most: int = 1 << 20):
     """Slices (first row, column) of a column, each of up to `most` bytes or one row."""
     raw, offsets = text_buffer(column)
     k, n = 0, len(offsets) - 1
@@ -132,3 +133,12 @@ def pieces(column: pa.Array, most: int = 4 << 20):
         j = max(k + 1, int(np.searchsorted(offsets, offsets[k] + most, "right")) - 1)
         yield k, column.slice(k, j - k)
         k = j
+
+
+def release() -> None:
+    """Gives freed memory back to the system; a worker process otherwise keeps its peak from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the C library that has it
+        pass

@@ -40,7 +40,7 @@ from ctxweave.runtime import prepare, shuffle_width
 _S1 = "r int, m long, kind int, a binary, b binary, c binary, d binary"
 _S2 = "m long, kind int, a binary, b binary, c binary, d binary"
 _S3 = "r int, kind int, set long, n int, a binary, b binary, c binary, d binary, e binary, f binary"
-_FLUSH = 8_000_000
+_FLUSH = 3_000_000
 
 
 def _rows(columns: list[list], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -80,12 +80,16 @@ def _sets(n: int, ranges: int):
         sets, at, of = np.unique(keys, return_index=True, return_inverse=True)
         n_of = sizes[at]
         owner = np.repeat(np.arange(len(sets), dtype=np.uint32), n_of)
-        take = np.arange(len(owner)) - np.repeat(np.cumsum(n_of) - n_of, n_of) + np.repeat(first[at], n_of)
+        take = np.arange(len(owner), dtype=np.int64)
+        take += np.repeat(first[at] - (np.cumsum(n_of) - n_of), n_of)
         g = values[take]
+        del take, values
         r = ((g >> np.uint64(32)) % np.uint64(ranges)).astype(np.int32)
         fp = g.astype(np.uint32)
+        del g
         order = np.argsort(r, kind="stable")
         r, fp, owner = r[order], fp[order], owner[order]
+        del order
         sig = sets.astype(np.uint32)
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(r)) + 1, [len(r)]))
         out = [[], [], [], [], [], [], []]
@@ -115,10 +119,14 @@ def _sets(n: int, ranges: int):
                 parts.append((ids[full], keys, v, sizes[full]))
                 held += len(v)
                 if held > _FLUSH:
-                    yield emit(parts, m)
-                    parts, held, m = [], 0, m + 1
+                    out, parts = emit(parts, m), []
+                    yield out
+                    held, m = 0, m + 1
+                    grams.release()
         if parts:
-            yield emit(parts, m)
+            out, parts = emit(parts, m), []
+            yield out
+        grams.release()
 
     return run
 
@@ -162,7 +170,9 @@ def _frequencies(table: pa.Table) -> pa.Table:
             if keep.any():
                 for c, v in zip(out, (m, 0, f[keep].tobytes(), _pack(np.bincount(o[keep], minlength=n)), _level(d[keep]).tobytes(), int(cols["r"][0]).to_bytes(4, "little"))):
                     c.append(v)
-    return pa.Table.from_batches([_rows(out, _K2, _N2)])
+    done = pa.Table.from_batches([_rows(out, _K2, _N2)])
+    grams.release()
+    return done
 
 
 def _prefixes(threshold: float):
@@ -212,7 +222,9 @@ def _prefixes(threshold: float):
             for k in np.flatnonzero(posts):
                 t = np.sort(token[start[k] : start[k] + shared[k]])
                 put(None, 1, int(sets[k].astype(np.int64)), int(n[k]), t.astype(np.uint32).tobytes(), (t >> np.uint64(32)).astype(np.uint32).tobytes(), None, None, None, None)
-        return pa.Table.from_batches([_rows(out, _K3, _N3)])
+        done = pa.Table.from_batches([_rows(out, _K3, _N3)])
+        grams.release()
+        return done
 
     return run
 

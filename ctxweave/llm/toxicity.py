@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxweave.llm.grams import mix
+from ctxweave.llm.grams import mix, release
 from ctxweave.runtime import prepare
 
 ORDERS, BITS, PER_CLASS, THRESHOLD = (3, 4, 5, 6), 20, 2000, 0.5
@@ -106,6 +106,7 @@ def _features(orders: tuple[int, ...], bits: int):
         for b in batches:
             rows = [buckets(points(t), orders, bits).astype(np.int32).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["toxic", "buckets"])
+        release()
 
     return run
 
@@ -152,5 +153,6 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text
         used = model.weights != 0
         for b in batches:
             yield b.filter(pa.array([t is None or probability(model, used, t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
