@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ctxweave.llm.grams import mix, release
 from ctxweave.runtime import prepare
 
-ORDERS, BITS, PER_CLASS, THRESHOLD = (3, 4, 5, 6), 20, 2000, 0.5
+ORDERS, BITS, PER_CLASS, THRESHOLD = (3, 4, 5, 6), 20, 2000, 0.7
 _ODD = mix(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
 
 
