@@ -41,6 +41,7 @@ _S1 = "r int, m long, kind int, a binary, b binary, c binary, d binary"
 _S2 = "m long, kind int, a binary, b binary, c binary, d binary"
 _S3 = "r int, kind int, set long, n int, a binary, b binary, c binary, d binary, e binary, f binary"
 _FLUSH = 3_000_000
+GROUP = 4000
 
 
 def _rows(columns: list[list], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -319,8 +320,12 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)), pa.array(np.frombuffer(sets, np.int64))], names=["doc_id", "set"])
 
 
-def set_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(pairs of similar sets: a < b, overlap, jaccard; members: doc_id, set)."""
+def set_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, doc_id: str = "doc_id", text: str = "text", group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """(pairs of similar sets: a < b, overlap, jaccard; members: doc_id, set).
+
+    A pivot with more than `group` sets has its pairs split into blocks of about that
+    many sets on either side, so that no task holds a whole large group.
+    """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
     spark = prepare(docs.sparkSession)
@@ -330,7 +335,9 @@ def set_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, doc_id: str =
     s3 = s2.groupBy("m").applyInArrow(_prefixes(threshold), _S3).checkpoint()
     candidates = s3.where("kind = 0").select("r", "a", "b", "c", "d", "e", "f").groupBy("r").applyInArrow(_candidates(threshold), "a long, b long").distinct().checkpoint()
     pivot = candidates.union(candidates.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p"))
-    keyed = candidates.join(pivot, "a").select("p", "a", "b")
+    blocks = pivot.groupBy("p").agg(F.ceil(F.count("*") / group).alias("blocks"))
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
+    keyed = candidates.join(pivot.join(blocks, "p"), "a").select(F.when(F.col("blocks") == 1, F.col("p")).otherwise(F.xxhash64("p", block("a"), block("b"))).alias("p"), "a", "b")
     needed = keyed.select("p", F.col("a").alias("set")).union(keyed.select("p", F.col("b").alias("set"))).distinct()
     contents = s3.where("kind = 1").select("set", "n", "a", "b").dropDuplicates(["set"])
     grouped = needed.join(contents, "set").select("p", "set", "n", "a", "b")

@@ -154,6 +154,16 @@ def test_pairs_are_brute_force(spark, threshold):
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_large_groups_split_without_loss(spark):
+    rng = random.Random(15)
+    vocab = vocabulary(rng, 80)
+    base = [rng.choice(vocab) for _ in range(60)]
+    d = spark.createDataFrame([(k, " ".join(edited(rng, base, vocab, 0.05))) for k in range(40)], DOCS)
+    key = lambda x: sorted((r["a"], r["b"], r["overlap"]) for r in x.collect())
+    whole, split = (jaccard_join.set_pairs(d, 0.5, group=g)[0] for g in (4000, 7))
+    assert key(whole) == key(split) and whole.count() > 300
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, data, name):
     duckdb.sql(f"create or replace view documents as select * from '{data}/documents.parquet'")
