@@ -52,8 +52,7 @@ def prefix_trees(conversations: DataFrame, path: str = bpe.RANKS, pattern: str =
     rows of one turn follow each other by role and text. Other columns are not read. An
     empty table gives an empty result.
     """
-    spark = prepare(conversations.sparkSession)
-    del spark
+    prepare(conversations.sparkSession)
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text")).where("conv is not null and turn is not null").distinct()
     turns = turns.withColumn("h", F.md5(F.concat(F.md5("role"), F.md5("text"))))

@@ -14,10 +14,6 @@ import numpy as np
 import pyarrow as pa
 
 
-def schema(names: list[str]) -> str:
-    return "r int, " + ", ".join(f"`{n}` binary" for n in names)
-
-
 def scatter(r: np.ndarray, cols: dict[str, np.ndarray], most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """One row for each range (several where a range has over `most` records)."""
     order = np.argsort(r, kind="stable")
@@ -39,7 +35,3 @@ def scatter(r: np.ndarray, cols: dict[str, np.ndarray], most: int = 1 << 22) ->
 def gather(table: pa.Table, kinds: dict[str, type]) -> dict[str, np.ndarray]:
     """The records of all rows, joined."""
     return {k: np.concatenate([np.frombuffer(x, kind) for x in table.column(k).to_pylist() if x is not None] or [np.zeros(0, kind)]) for k, kind in kinds.items()}
-
-
-def batch(cols: dict[str, tuple[np.ndarray, pa.DataType]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in cols.values()], names=list(cols))

@@ -167,6 +167,7 @@ def _map(bands: int, ranges: int):
                     yield from flush()
                     held = 0
         yield from flush()
+        grams.release()
 
     return run
 
