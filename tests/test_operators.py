@@ -251,3 +251,37 @@ def test_lsh_finds_near_vectors(spark):
     q = spark.createDataFrame([(k, (m[k] + rng.normal(size=16) * 0.05).tolist()) for k in range(20)], "query_id long, embedding array<double>")
     got = vector.knn_lsh(v, vector.lsh_index(v, 16, bits=8), q, 16, 1, bits=8).collect()
     assert sum(r["query_id"] == r["id"] for r in got) >= 18
+
+
+def test_skill_detection(spark):
+    from ctxweave.streaming.events import ENVELOPE, FIELDS
+
+    def event(**kw):
+        return tuple(kw.get(f) for f in FIELDS)
+
+    e = spark.createDataFrame(
+        [
+            event(event_type="tool_start", session_id="s", timestamp="1", tool_name="Skill", tool_input='{"skill": "pdf"}'),
+            event(event_type="tool_start", session_id="s", timestamp="2", tool_name="Read", tool_input='{"file_path": "/x/docx/SKILL.md"}'),
+            event(event_type="tool_end", session_id="s", timestamp="3", tool_name="Read", result="---\nname: docx\n---\nbody"),
+            event(event_type="message", session_id="s", timestamp="4", content="/pdf make one"),
+            event(event_type="message", session_id="s", timestamp="5", content="/unknown thing"),
+        ],
+        ENVELOPE,
+    )
+    uses = skills.detect_usage(e, spark.createDataFrame([("pdf",), ("docx",)], "name string"))
+    assert {(r["skill"], r["action"]) for r in uses.collect()} == {("pdf", "load"), ("docx", "read"), ("docx", "content"), ("pdf", "expand")}
+    got = {r["skill"]: r["access_count"] for r in skills.usage(uses).collect()}
+    assert got == {"pdf": 2, "docx": 2}
+
+
+def test_delete_skill_and_memory(spark):
+    s, d = spark.createDataFrame([("a",), ("b",)], "name string"), spark.createDataFrame([("a", "b")], "src string, dst string")
+    used = spark.createDataFrame([("s", "a")], "session_id string, skill string")
+    kept, deps, left, n = skills.delete_skill(s, d, used, "a")
+    assert rows(kept) == [("b",)] and deps.isEmpty() and left.isEmpty() and n.first()[0] == 1
+    m = spark.createDataFrame([], "memory_id string, user_id string, content string, created_at int")
+    e = spark.createDataFrame([], "src string, dst string")
+    new = spark.createDataFrame([("1", "u", "x", 1, "s"), ("2", "u", "y", 2, None)], "memory_id string, user_id string, content string, created_at int, session_id string")
+    kept, owns, produced = stores.save_memory(m, e, e, new)
+    assert kept.count() == 2 and owns.count() == 2 and rows(produced) == [("s", "1")]
