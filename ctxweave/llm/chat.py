@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxweave.llm import bpe
-from ctxweave.runtime import prepare
+from ctxweave.runtime import prepare, shuffle_width
 
 
 def render(role: str, text: str) -> str:
@@ -39,6 +39,23 @@ def _encode(path: str, pattern: str):
     return run
 
 
+def _depth_first(nodes: DataFrame) -> DataFrame:
+    """Adds seq, start and end, running counts over (tree_id, path) within each tree.
+
+    A tree may hold most of all conversations, so none is sorted in one task: nodes are
+    range-partitioned, counted within each part, and what a tree has in earlier parts
+    is added.
+    """
+    parts = nodes.repartitionByRange(shuffle_width(nodes.sparkSession), "tree_id", "path").withColumn("part", F.spark_partition_id()).checkpoint()
+    own = Window.partitionBy("part", "tree_id").orderBy("path")
+    inside = parts.withColumn("k", F.row_number().over(own)).withColumn("to", F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    earlier = Window.partitionBy("tree_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("tree_id", "part").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    before = totals.select("tree_id", "part", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("c"), F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("s"))
+    joined = inside.join(before, ["tree_id", "part"])
+    return joined.withColumn("seq", (F.col("k") + F.col("c") - 1).cast("long")).withColumn("end", F.col("to") + F.col("s")).withColumn("start", F.col("end") - F.col("n")).drop("part", "k", "to", "c", "s")
+
+
 def prefix_trees(conversations: DataFrame, path: str = bpe.RANKS, pattern: str = bpe.PATTERN) -> DataFrame:
     """One row a node of the trees.
 
@@ -65,9 +82,7 @@ def prefix_trees(conversations: DataFrame, path: str = bpe.RANKS, pattern: str =
     nodes = steps.groupBy("node").agg(F.min("conv").alias("least"), F.sort_array(F.collect_list(F.when(F.col("depth") == F.col("turns") - 1, F.col("conv")))).alias("conv_ids"))
     on_path = steps.join(nodes, "node").select("*", F.collect_list("least").over(order).alias("path"), F.collect_list("node").over(order).alias("nodes"), (F.sum("n").over(order) - F.col("n")).alias("position"))
     own = on_path.where("conv = least").select("node", "conv", "turn", "h", "depth", "n", "path", "nodes", "position", "conv_ids", F.col("path")[0].alias("tree_id"))
-    depth_first = Window.partitionBy("tree_id").orderBy("path")
-    placed = own.withColumn("seq", F.row_number().over(depth_first) - 1).withColumn("end", F.sum("n").over(depth_first.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("n"))
-    placed = placed.checkpoint()
+    placed = _depth_first(own).checkpoint()
     spans = placed.select(F.col("node").alias("ancestor"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("depth").alias("d"))
     above = placed.where("depth > 0").select("node", F.explode(F.slice("nodes", 1, F.size("nodes") - 1)).alias("ancestor")).join(spans, "ancestor")
     attention = above.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "s", "e"))), lambda x: F.struct(x["s"].alias("start"), x["e"].alias("end"))).alias("attention"))
