@@ -16,6 +16,7 @@ import heapq
 import sys
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -29,8 +30,9 @@ from ctxweave.runtime import prepare
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-SHORT, KEPT = 64, 500_000
+SHORT, KEPT, RETAINED = 64, 500_000, 150_000
 _NONE = np.int32(0x7FFFFFFF)
+_MARKS = frozenset(".,;:!?")
 
 
 class Encoder:
@@ -42,7 +44,7 @@ class Encoder:
         for piece, rank in self.ranks.items():
             self.pieces[rank] = piece
         self.pattern = regex.compile(pattern)
-        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         keys, merged = [], []
         for piece, rank in self.ranks.items():
             for cut in range(1, len(piece)):
@@ -91,7 +93,7 @@ class Encoder:
         """Parts of words of at most SHORT bytes, all together."""
         n = np.array([len(w) for w in words])
         wide = int(n.max())
-        parts = np.zeros((len(words), wide), np.int64)
+        parts = np.zeros((len(words), wide), np.int32)
         inside = np.arange(wide)[None, :] < n[:, None]
         parts[inside] = self.single[np.frombuffer(b"".join(words), np.uint8)]
         ranks = np.full((len(words), wide), _NONE, np.int32)  # of part k with part k + 1
@@ -107,7 +109,7 @@ class Encoder:
             over = least == _NONE
             if over.any():
                 for r in np.flatnonzero(over):
-                    done[live[r]] = parts[r, : n[r]].astype(np.int32)
+                    done[live[r]] = parts[r, : n[r]]
                 keep = ~over
                 live, parts, ranks, n, k, least = live[keep], parts[keep], ranks[keep], n[keep], k[keep], least[keep]
                 if not len(live):
@@ -193,14 +195,26 @@ class Encoder:
         first, *rest = text.split(" ")
         return ([first] if first else []) + [" " + x for x in rest]
 
+    def cut(self, stretch: str) -> list[str]:
+        """The words of a stretch; letters, with or without a mark behind them, need no pattern."""
+        body = stretch[1:] if stretch[:1] == " " else stretch
+        if body.isalpha():
+            return [stretch]
+        if body[-1:] in _MARKS and body[:-1].isalpha():
+            return [stretch[:-1], body[-1]]
+        return self.pattern.findall(stretch)
+
     def learn(self, stretches: list[str]) -> None:
         """Encode stretches that aren't known yet."""
-        cut = [self.pattern.findall(x) for x in stretches]
+        cut = [self.cut(x) for x in stretches]
         distinct = list({w for c in cut for w in c})
         of = dict(zip(distinct, self.words(distinct)))
-        if len(self.known) + len(stretches) > KEPT:
-            self.known.clear()
-        self.known.update((x, b"".join([of[w] for w in c])) for x, c in zip(stretches, cut))
+        self.known.update((x, of[c[0]] if len(c) == 1 else b"".join([of[w] for w in c])) for x, c in zip(stretches, cut))
+
+    def forget(self) -> None:
+        """Keeps only the stretches learnt first, which are mostly the frequent ones."""
+        if len(self.known) > RETAINED:
+            self.known = dict(islice(self.known.items(), RETAINED))
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray | None]:
         split = [None if t is None else self.stretches(t) for t in texts]
@@ -211,15 +225,14 @@ class Encoder:
         missing = every.difference(self.known)
         if missing:
             if len(self.known) + len(missing) > KEPT:
-                self.known.clear()
-                missing = every
+                self.forget()
+                missing = every.difference(self.known)
             self.learn(list(missing))
         known = self.known
         return [None if s is None else np.frombuffer(b"".join([known[w] for w in s]), np.int32) for s in split]
 
     def decode(self, ids: np.ndarray) -> str:
-        pieces = self.pieces
-        return b"".join([pieces[k] for k in ids.tolist()]).decode("utf-8", "surrogatepass")
+        return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")
 
 
 @lru_cache(maxsize=4)
@@ -254,7 +267,7 @@ def _encode(path: str, pattern: str, check: bool):
                 count = pa.array([None if g is None else len(g) for g in got], pa.int32())
                 same = pa.array([None if g is None else enc.decode(g) == t for g, t in zip(got, texts[x:y])] if check else [None] * (y - x), pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), ids, count, same], names=["doc_id", "tokens", "n_tokens", "round_trip"])
-        enc.known.clear()  # a worker process outlives its tasks and may serve other stages next
+        enc.forget()  # a worker process outlives its tasks and may serve other stages next
         release()
 
     return run
