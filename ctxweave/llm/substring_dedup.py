@@ -9,8 +9,9 @@ inner segments in every line it stands in.
 1. Paragraphs get MinHash signatures over word n-grams in bands tuned to the threshold
    and the recall asked for; segments are looked up by the hash of their words. Keys
    are shuffled as binary blocks and only keys of several contents come back.
-2. Colliding paragraphs of different content are joined with their texts, and their
-   exact Jaccard similarity decides.
+2. The different contents of a bucket are brought together with their n-grams, and
+   exact Jaccard similarity decides on every pair that isn't linked already. A bucket
+   of over `BLOCK` contents is dealt out as pairs of blocks.
 3. Similar contents form components. All but the first occurrence in each component,
    by doc_id and place, are removals; neighbouring removals of a document make a run,
    and runs of at least `least_words` words are the result.
@@ -31,7 +32,7 @@ from ctxweave.llm import exchange, graph, grams
 from ctxweave.runtime import prepare, shuffle_width
 
 THRESHOLD, RECALL, ROWS, N, LEAST_PARAGRAPH, LEAST_WORDS = 0.7, 0.95, 3, 3, 8, 20
-SEGMENT_LEAST, CLASSES = 3, 24
+SEGMENT_LEAST, CLASSES, BLOCK = 3, 24, 4096
 
 
 def tune_bands(threshold: float, recall: float, rows: int = ROWS) -> int:
@@ -173,7 +174,7 @@ def _map(bands: int, ranges: int):
 
 
 def _collide(table: pa.Table) -> pa.Table:
-    """Of one range: repeated segments (kind 0) and pairs of different lines that share a band (kind 1)."""
+    """Of one range: repeated segments (kind 0) and buckets of different lines that share a band (kind 1: content, bucket)."""
     kinds = np.array(table.column("kind").to_pylist())
     out = {k: [] for k in ("kind", "doc_id", "start", "end", "word", "word_end", "keep_doc_id")}
     seg = table.filter(pa.array(kinds == 0))
@@ -193,11 +194,8 @@ def _collide(table: pa.Table) -> pa.Table:
         g = exchange.gather(lines, {"key": np.uint64, "a": np.uint64})
         order = np.lexsort((g["a"], g["key"]))
         key, h = g["key"][order], g["a"][order].astype(np.int64)
-        new = np.concatenate(([True], key[1:] != key[:-1]))
-        head = h[np.flatnonzero(new)][np.cumsum(new) - 1]
-        same = np.concatenate(([True], h[1:] == h[:-1])) | new
-        x = np.flatnonzero(~same)
-        a, b = np.concatenate((head[x], h[x - 1])), np.concatenate((h[x], h[x]))
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1])))
+        a, b = buckets(key[fresh], h[fresh])
         z = np.zeros(len(a), np.int32)
         for k, v in zip(out, (z + 1, a, z, z, z, z, b)):
             out[k].append(v)
@@ -230,15 +228,67 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sets[x:y].tobytes() for x, y in zip(first[:-1], first[1:])], pa.binary())], names=["h", "s"])
 
 
+def buckets(key: np.ndarray, h: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """(content, bucket) of the buckets of several contents; both sorted by key, then content.
+
+    A bucket's name is a hash of its members, so the same bucket of another band has the
+    same name. A bucket of over `block` members becomes one bucket for each two blocks.
+    """
+    if not len(h):
+        return h, h
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    n = np.diff(np.append(first, len(key)))
+    name = grams.mix(np.add.reduceat(grams.mix(h.view(np.uint64)), first) + n.astype(np.uint64)).view(np.int64)
+    plain = np.repeat((n > 1) & (n <= block), n)
+    out_h, out_name = [h[plain]], [np.repeat(name, n)[plain]]
+    for k in np.flatnonzero(n > block):
+        parts = np.array_split(h[first[k] : first[k] + n[k]], -(-int(n[k]) // block))
+        for x in range(len(parts)):
+            for y in range(x + 1, len(parts)):
+                both = np.concatenate((parts[x], parts[y]))
+                own = grams.mix(name[k : k + 1].view(np.uint64) + np.uint64(x * len(parts) + y + 1)).view(np.int64)
+                out_h.append(both)
+                out_name.append(np.repeat(own, len(both)))
+    return np.concatenate(out_h), np.concatenate(out_name)
+
+
+def links(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Pairs of similar sets that link all that similar pairs link; pairs linked already aren't compared."""
+    sizes = np.array([len(x) for x in sets])
+    first = np.cumsum(sizes) - sizes
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    part, out, mark = np.arange(len(sets)), [], np.zeros(len(values), bool)
+    for k in range(len(sets) - 1):
+        j = k + 1 + np.flatnonzero(part[k + 1 :] != part[k])
+        n = sizes[j]
+        j = j[np.minimum(n, sizes[k]) >= threshold * np.maximum(n, sizes[k]) - 1e-9]
+        if not len(j):
+            continue
+        n = sizes[j]
+        own = ids[first[k] : first[k] + sizes[k]]
+        mark[own] = True
+        begin = np.cumsum(n) - n
+        shared = np.add.reduceat(mark[ids[np.arange(n.sum()) + np.repeat(first[j] - begin, n)]], begin, dtype=np.int64)
+        mark[own] = False
+        j = j[shared >= threshold * (n + sizes[k] - shared) - 1e-9]
+        for c in np.unique(part[j]):
+            out.append((k, int(j[part[j] == c][0])))
+            part[part == c] = part[k]
+    return out
+
+
 def _verified(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(shared >= threshold * (len(x) + len(y) - shared) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    def run(table: pa.Table) -> pa.Table:
+        name, h = table.column("name").to_numpy(), table.column("h").to_numpy()
+        s = table.column("s").to_pylist()
+        order = np.lexsort((h, name))
+        cuts = np.flatnonzero(np.diff(name[order])) + 1
+        a, b = [], []
+        for own in np.split(order, cuts):
+            for x, y in links([np.frombuffer(s[k], np.uint64) for k in own], threshold):
+                a.append(h[own[x]])
+                b.append(h[own[y]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -257,14 +307,14 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     bands, ranges = tune_bands(threshold, recall), shuffle_width(spark)
     texts = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).where("i is not null and t is not null")
     found = texts.mapInArrow(_map(bands, ranges), _BLOB).groupBy("r").applyInArrow(_collide, "kind int, " + _FLAG).checkpoint()
-    pairs = found.where("kind = 1").select(F.col("doc_id").alias("a"), F.col("keep_doc_id").alias("b")).distinct()
+    members = found.where("kind = 1").select(F.col("doc_id").alias("h"), F.col("keep_doc_id").alias("name")).distinct()
     lines = texts.mapInArrow(_occurrences, "h long, doc_id long, start int, end int, word int, word_end int")
-    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+    wanted = members.select("h").distinct()
     held = lines.join(wanted, "h").checkpoint()  # every paragraph that collided with another content
     one = held.groupBy("h").agg(F.min(F.struct("doc_id", "start", "end")).alias("x")).select("h", F.col("x.doc_id").alias("i"), "x.start", "x.end")
     content = one.join(texts, "i").select("h", F.expr("substring(t, start + 1, end - start)").alias("t")).mapInArrow(_contents, "h long, s binary").dropDuplicates(["h"])
-    both = pairs.join(content.select(F.col("h").alias("a"), F.col("s").alias("x")), "a").join(content.select(F.col("h").alias("b"), F.col("s").alias("y")), "b")
-    similar = both.select("a", "b", "x", "y").mapInArrow(_verified(threshold), "a long, b long")
+    both = members.join(content, "h").select(F.pmod(F.xxhash64("name"), F.lit(ranges)).alias("r"), "name", "h", "s")
+    similar = both.groupBy("r").applyInArrow(_verified(threshold), "a long, b long")
     component = graph.components(similar)
     near = held.join(component, held["h"] == component["id"]).select("component", "doc_id", "start", "end", "word", "word_end")
     keep = near.groupBy("component").agg(F.min("doc_id").alias("keep_doc_id"))

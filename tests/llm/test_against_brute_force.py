@@ -389,6 +389,46 @@ def test_paragraph_recall_against_brute_force(spark, data):
     assert late and hit >= 0.9 * len(late)
 
 
+def template_family(rng, vocab, families=3, size=600, words=62):
+    """Lines of templates that share grams below the threshold, and in each family pairs over it: (doc_id, text), ids of the later of each pair."""
+    docs, late = [], set()
+    for _ in range(families):
+        base = [rng.choice(vocab) for _ in range(words)]
+        for k in range(size):
+            line = list(base)
+            for at in range(3, words, 15):  # 4 words differ: Jaccard of 48 to 72 grams
+                line[at] = f"v{rng.random()}"
+            docs.append((len(docs), " ".join(line)))
+            if k % 20 == 0:
+                for at in (18, 33, 48):
+                    line[at] = f"v{rng.random()}"
+                late.add(len(docs))
+                docs.append((len(docs), " ".join(line)))
+    return docs, late
+
+
+def test_pairs_inside_a_templated_family(spark):
+    rng = random.Random(23)
+    docs, late = template_family(rng, vocabulary(rng))
+    sets = {k: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for k, t in docs for w in [t.split()]}
+    alike = lambda x, y: len(sets[x] & sets[y]) / len(sets[x] | sets[y])
+    assert all(alike(k - 1, k) >= 0.7 for k in late) and alike(2, 3) < 0.7
+    lines = [sorted(sets[k]) for k, _ in docs]
+    ids = {g: n for n, g in enumerate(sorted({g for x in lines for g in x}))}
+    index = [np.array(sorted(ids[g] for g in x), np.uint64) for x in lines]
+    spans = [substring_dedup.links(index[f : f + 630], 0.7) for f in range(0, len(docs), 630)]
+    assert {f * 630 + y for f, x in enumerate(spans) for _, y in x} == late
+    flagged = {r["doc_id"] for r in substring_dedup.repeats(spark.createDataFrame(docs, DOCS).repartition(4), least_words=62).collect()}
+    assert flagged <= late and len(flagged) >= 0.9 * len(late)
+
+
+def test_buckets_hold_every_pair():
+    key, h = np.array([1] * 10 + [2] + [3] * 3, np.uint64), np.array([*range(10), 4, 1, 5, 7])
+    own, name = substring_dedup.buckets(key, h, block=4)
+    groups = [set(own[name == x].tolist()) for x in np.unique(name)]
+    assert all(any({x, y} <= g for g in groups) for x in range(10) for y in range(x)) and {1, 5, 7} in groups and len(groups) == 4
+
+
 # --- 9, 10 ---
 
 
