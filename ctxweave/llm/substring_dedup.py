@@ -4,7 +4,9 @@ A paragraph is a line. So that a passage is found wherever it was pasted, lines
 also cut into segments at places that their words alone decide: after a word that ends
 a sentence or whose hash falls in a certain class, unless one of the two words before
 does so too. A pasted passage has the same
-inner segments in every line it stands in.
+inner segments in every line it stands in. And every window of a few words in a line
+is looked up, so a passage of `least_words` words is found up to its first and last
+word however it is punctuated.
 
 1. Paragraphs get MinHash signatures over word n-grams in bands tuned to the threshold
    and the recall asked for; segments are looked up by the hash of their words. Keys
@@ -32,7 +34,7 @@ from ctxweave.llm import exchange, graph, grams
 from ctxweave.runtime import prepare, shuffle_width
 
 THRESHOLD, RECALL, ROWS, N, LEAST_PARAGRAPH, LEAST_WORDS = 0.7, 0.95, 3, 3, 8, 20
-SEGMENT_LEAST, CLASSES, BLOCK = 3, 24, 4096
+SEGMENT_LEAST, CLASSES, BLOCK, WINDOW = 3, 24, 4096, 0.6
 
 
 def tune_bands(threshold: float, recall: float, rows: int = ROWS) -> int:
@@ -103,6 +105,104 @@ class Pieces:
         }
 
 
+def windows(p: Pieces, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every window of `size` words of a line, in runs: key, first word and windows of each run; hash of each window.
+
+    The key is the least gram of a window. Windows that follow each other tend to share
+    it, so they are sent under one key, and the same window has the same key anywhere.
+    """
+    h, n = p.w.hashes, len(p.w.hashes)
+    none = np.zeros(0, np.int64)
+    if n < size:
+        return none.astype(np.uint64), none, none, none.astype(np.uint32)
+    q, m = max(1, 2 * size // 5), n - size + 1
+    end = np.repeat(p.lines[:, 1], p.lines[:, 1] - p.lines[:, 0])
+    at = np.flatnonzero(np.arange(n) + size <= end)
+    if not len(at):
+        return none.astype(np.uint64), none, none, none.astype(np.uint32)
+    odd = grams.mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
+    own, g = np.zeros(m, np.uint64), np.zeros(n - q + 1, np.uint64)
+    for k in range(size):
+        own += h[k : m + k] * odd[k]
+    for k in range(q):
+        g += h[k : n - q + 1 + k] * odd[k]
+    g = grams.mix(g)
+    least, place = g[:m].copy(), np.arange(m)
+    for k in range(1, size - q + 1):
+        less = np.flatnonzero(g[k : m + k] < least)
+        least[less] = g[less + k]
+        place[less] = less + k
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(place[at]) != 0))))
+    return least[at[first]], at[first], np.diff(np.append(first, len(at))), (grams.mix(own[at]) >> np.uint64(32)).astype(np.uint32)
+
+
+def _window_blobs(p: Pieces, ids: np.ndarray, size: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Rows of kind 2, or 3 where windows are long: key, doc, first word, first character and windows of each run; hash, start and end of each window."""
+    key, at, n, hashes = windows(p, size)
+    if not len(n):
+        return
+    begin = np.cumsum(n) - n
+    first = np.repeat(at - begin, n) + np.arange(n.sum())
+    x = p.places(np.stack([at, at + size], axis=1))
+    base = np.repeat(p.chars[p.w.starts[at]], n)
+    start, end = p.chars[p.w.starts[first]] - base, p.chars[p.w.ends[first + size - 1] - 1] - base + 1
+    kind, small = (2, np.uint16) if end.max() < 1 << 16 else (3, np.uint32)
+    r = ((key >> np.uint64(33)) % np.uint64(ranges)).astype(np.int32)
+    order = np.argsort(r, kind="stable")
+    r, size_of = r[order], n[order]
+    every = np.repeat(begin[order] - (np.cumsum(size_of) - size_of), size_of) + np.arange(n.sum())
+    cols = [c[order] for c in (key, ids[x["row"]], x["word"].astype(np.uint32), x["start"].astype(np.uint32), n.astype(np.uint32))]
+    flat = [hashes[every], start[every].astype(small), end[every].astype(small)]
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(r)) + 1, [len(r)]))
+    edge = np.concatenate(([0], np.cumsum(size_of)))[cut]
+    rows = [pa.array([c[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()) for c in cols]
+    rows.append(pa.array([b"".join(c[a:b].tobytes() for c in flat) for a, b in zip(edge[:-1], edge[1:])], pa.binary()))
+    yield pa.RecordBatch.from_arrays([pa.array(r[cut[:-1]]), pa.array(np.full(len(cut) - 1, kind, np.int32)), *rows], names=["r", "kind", "key", "a", "b", "c", "d", "e"])
+
+
+def _window_runs(table: pa.Table, small: type) -> tuple[np.ndarray, ...]:
+    """key, doc, word, base and number of windows of each run; hash, start and end of each window."""
+    g = exchange.gather(table, {"key": np.uint64, "a": np.int64, "b": np.uint32, "c": np.uint32, "d": np.uint32})
+    own: list[list[np.ndarray]] = [[], [], []]
+    step = np.dtype(small).itemsize
+    for blob in table.column("e").to_pylist():
+        n = len(blob) // (4 + 2 * step)
+        for x, kind, at in zip(own, (np.uint32, small, small), (0, 4 * n, (4 + step) * n)):
+            x.append(np.frombuffer(blob, kind, n, at))
+    return (*(g[k].astype(np.int64) if k in "bcd" else g[k] for k in g), *(np.concatenate(x) for x in own))
+
+
+def _groups(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest doc of each record's key."""
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
+    n, out = np.diff(np.append(first, len(key))), (np.zeros(len(key), np.int64), np.zeros(len(key), np.int64))
+    for x, ufunc in zip(out, (np.minimum, np.maximum)):
+        x[order] = np.repeat(ufunc.reduceat(doc[order], first), n)
+    return out
+
+
+def _flag_windows(parts: list[tuple[np.ndarray, ...]], size: int) -> tuple[np.ndarray, ...]:
+    """(doc, start, end, word, word_end, keep) of stretches whose windows stand in an earlier document too."""
+    key, doc, word, base, n, own, start, end = (np.concatenate(x) for x in zip(*parts))
+    low, high = _groups(key, doc)
+    taken = low < high
+    flat, run = np.repeat(taken, n), np.repeat(np.flatnonzero(taken), n[taken])
+    none = np.zeros(0, np.int64)
+    if not len(run):
+        return (none,) * 6
+    off = np.arange(n.sum())[flat] - (np.cumsum(n) - n)[run]
+    own, start, end = own[flat], start[flat].astype(np.int64), end[flat].astype(np.int64)
+    keep, _ = _groups(grams.mix(key[run] + grams.mix(own.astype(np.uint64) + np.uint64(1))), doc[run])
+    x = np.flatnonzero(keep != doc[run])
+    if not len(x):
+        return (none,) * 6
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(x) != 1) | (np.diff(run[x]) != 0) | (np.diff(keep[x]) != 0))))
+    a, b = x[first], x[np.append(first[1:], len(x)) - 1]
+    r = run[a]
+    return doc[r], base[r] + start[a], base[r] + end[b], word[r] + off[a], word[r] + off[b] + size, keep[a]
+
+
 def line_sets(p: Pieces, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct word n-grams of each line; (grams, first of each line with an end)."""
     g, rows = grams.ngrams(p.joined(spans), N)
@@ -134,8 +234,8 @@ def _blobs(kind: int, r: np.ndarray, cols: list[np.ndarray]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([out.column(0), pa.array(np.full(out.num_rows, kind, np.int32)), *(out.column(k + 1) if k < len(cols) else none for k in range(6))], names=["r", "kind", *names])
 
 
-def _map(bands: int, ranges: int):
-    """Map: (id, text) to segments (kind 0: key, doc, places) and line bands (kind 1: key, content hash)."""
+def _map(bands: int, ranges: int, size: int):
+    """Map: (id, text) to segments (kind 0: key, doc, places), line bands (kind 1: key, content hash) and windows (kinds 2 and 3)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {0: [], 1: []}
@@ -153,6 +253,7 @@ def _map(bands: int, ranges: int):
             for at, text in grams.pieces(b.column(1)):
                 ids = b.column(0).slice(at, len(text)).to_numpy(zero_copy_only=False).astype(np.int64)
                 p = Pieces(text)
+                yield from _window_blobs(p, ids, size, ranges)
                 seg = p.segments[p.segments[:, 1] - p.segments[:, 0] >= SEGMENT_LEAST]
                 if len(seg):
                     x = p.places(seg)
@@ -173,8 +274,8 @@ def _map(bands: int, ranges: int):
     return run
 
 
-def _collide(table: pa.Table) -> pa.Table:
-    """Of one range: repeated segments (kind 0) and buckets of different lines that share a band (kind 1: content, bucket)."""
+def _collide(table: pa.Table, size: int) -> pa.Table:
+    """Of one range: repeated segments and windows (kind 0) and buckets of different lines that share a band (kind 1: content, bucket)."""
     kinds = np.array(table.column("kind").to_pylist())
     out = {k: [] for k in ("kind", "doc_id", "start", "end", "word", "word_end", "keep_doc_id")}
     seg = table.filter(pa.array(kinds == 0))
@@ -189,6 +290,11 @@ def _collide(table: pa.Table) -> pa.Table:
         x = np.flatnonzero(doc != keep)
         for k, v in zip(out, (np.zeros(len(x), np.int32), doc[x], *(g[c][order][x].astype(np.int32) for c in "bcde"), keep[x])):
             out[k].append(v)
+    runs = [_window_runs(table.filter(pa.array(kinds == k)), small) for k, small in ((2, np.uint16), (3, np.uint32)) if (kinds == k).any()]
+    if runs:
+        doc, *at, keep = _flag_windows(runs, size)
+        for k, v in zip(out, (np.zeros(len(doc), np.int32), doc, *(x.astype(np.int32) for x in at), keep)):
+            out[k].append(v)
     lines = table.filter(pa.array(kinds == 1))
     if lines.num_rows:
         g = exchange.gather(lines, {"key": np.uint64, "a": np.uint64})
@@ -306,7 +412,8 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     spark = prepare(docs.sparkSession)
     bands, ranges = tune_bands(threshold, recall), shuffle_width(spark)
     texts = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).where("i is not null and t is not null")
-    found = texts.mapInArrow(_map(bands, ranges), _BLOB).groupBy("r").applyInArrow(_collide, "kind int, " + _FLAG).checkpoint()
+    size = max(1, round(WINDOW * least_words))
+    found = texts.mapInArrow(_map(bands, ranges, size), _BLOB).groupBy("r").applyInArrow(lambda t: _collide(t, size), "kind int, " + _FLAG).checkpoint()
     members = found.where("kind = 1").select(F.col("doc_id").alias("h"), F.col("keep_doc_id").alias("name")).distinct()
     lines = texts.mapInArrow(_occurrences, "h long, doc_id long, start int, end int, word int, word_end int")
     wanted = members.select("h").distinct()

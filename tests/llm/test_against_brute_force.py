@@ -429,6 +429,22 @@ def test_buckets_hold_every_pair():
     assert all(any({x, y} <= g for g in groups) for x in range(10) for y in range(x)) and {1, 5, 7} in groups and len(groups) == 4
 
 
+def test_pasted_passages_without_sentence_ends(spark):
+    """Every passage of 20 words and more, pasted inside a line, is found up to its first and last word."""
+    rng = random.Random(29)
+    word = lambda: f"w{rng.randrange(10**9)}é"
+    docs, want = [], set()
+    for k in range(120):
+        passage = [word() for _ in range((20, 25, 40, 60)[k % 4])]
+        for copy in range(2):
+            before = "first\n" + " ".join(word() for _ in range(rng.randrange(1, 60)))
+            docs.append((2 * k + copy, " ".join([before, *passage, *(word() for _ in range(30))])))
+        want.add((2 * k + 1, len(before) + 1, len(before) + 1 + len(" ".join(passage)), len(passage), 2 * k))
+    docs.append((999, "x" * 70000 + " " + docs[0][1].split("\n")[1]))
+    got = {tuple(r) for r in substring_dedup.repeats(spark.createDataFrame(docs, DOCS).repartition(4)).collect()}
+    assert want <= got and {x[0] for x in got} == {x[0] for x in want} | {999}
+
+
 # --- 9, 10 ---
 
 
