@@ -159,15 +159,23 @@ def _escape_layers(layer: Layer) -> Iterator[Layer]:
             yield _substituted(piece, parts, "unicode")
 
 
-def readable(raw: bytes) -> str | None:
-    """The text that the bytes are, if they are text."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if not text or not all(c.isprintable() or c in "\t\n\r" for c in text):
-        return None
-    return text if text.isascii() or 5 * sum(c.isascii() for c in text) >= 4 * len(text) else None
+def views(raw: bytes) -> Iterator[tuple[str, np.ndarray]]:
+    """What the bytes may be as text, whatever they are, and the byte where each character starts, with an end.
+
+    UTF-8, where a byte that is none is a character of its own; with zero bytes also UTF-16 and UTF-32 of either order at each alignment.
+    """
+    text = raw.decode("utf-8", "surrogateescape")
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+    yield text, np.concatenate(([0], np.cumsum(np.where((c >= 0xDC80) & (c <= 0xDCFF), 1, size))))
+    for width in (2, 4):
+        if b"\0" * (width - 1) not in raw:
+            continue
+        for order in "<>":
+            for at in range(min(width, len(raw))):
+                c = np.frombuffer(raw, f"{order}u{width}", (len(raw) - at) // width, at)
+                text = np.where(c > 0x10FFFF, 0xFFFD, c).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+                yield text, at + width * np.arange(len(c) + 1)
 
 
 def _expand(raw: bytes, most: int) -> tuple[bytes, str] | None:
@@ -215,17 +223,12 @@ def _base64_layers(layer: Layer, room: list[int]) -> Iterator[Layer]:
             raw, name = opened
             room[0] -= len(raw)
             chain = (*chain, name)
-        text = readable(raw)
-        if text is None:
-            continue
         s, e = layer.span(m.start(), m.end())
-        if len(chain) == len(layer.chain) + 1 and layer.start is None:  # each character has its own four of base64
-            byte = np.repeat(np.arange(len(text)), [len(c.encode()) for c in text]) if not text.isascii() else np.arange(len(text))
-            first = np.searchsorted(byte, np.arange(len(text)))
-            last = np.searchsorted(byte, np.arange(len(text)), "right") - 1
-            yield Layer(text, np.minimum(s + first * 4 // 3, e - 1), np.minimum(s + last * 4 // 3 + 2, e), 0, chain)
-        else:
-            yield Layer(text, np.full(len(text), s), np.full(len(text), e), 0, chain)
+        for text, first in views(raw):
+            if len(chain) == len(layer.chain) + 1 and layer.start is None:  # each character has its own four of base64
+                yield Layer(text, np.minimum(s + first[:-1] * 4 // 3, e - 1), np.minimum(s + (first[1:] - 1) * 4 // 3 + 2, e), 0, chain)
+            else:
+                yield Layer(text, np.full(len(text), s), np.full(len(text), e), 0, chain)
 
 
 def scan(text: str, most: int = MOST) -> list[tuple[str, str, int, int, str]]:

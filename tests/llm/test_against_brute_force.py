@@ -266,6 +266,17 @@ def test_cycles_and_bombs_end():
     assert secrets.scan("plain prose with a token of esteem and a key idea, password: none") == []
 
 
+def test_decoded_layers_that_are_not_plain_text():
+    for plain in (f"\ufeffkey {KEY} end", f"ключ доступа: {KEY}, больше ничего не нужно", f"鍵\u3000{KEY}\u200b 終", f"a\0b {KEY} c", f"x\u00a0{KEY} y"):
+        for codec in ("utf-8", "utf-16", "utf-16-be", "utf-32-le"):
+            for pack in (bytes, gzip.compress):
+                text = "see " + base64.b64encode(pack(plain.encode(codec))).decode() + " tail"
+                assert any(k == "cloud_access_key" for k, *_ in secrets.scan(text)), (plain, codec, pack)
+                assert secrets.scan(secrets.redact(text)) == []
+    latin = "see " + base64.b64encode(f"clé é {KEY} fin".encode("latin-1")).decode()
+    assert [k for k, *_ in secrets.scan(latin)] == ["cloud_access_key"]
+
+
 def test_every_planted_secret_is_found(spark):
     import re
 
