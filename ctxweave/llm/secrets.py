@@ -11,7 +11,6 @@ original text it came from, so findings have spans of the original.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import html
@@ -46,8 +45,13 @@ RULES: list[tuple[str, tuple[str, ...], re.Pattern]] = [
 ]
 _URL = re.compile(r"%[0-9A-Fa-f]{2}")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|&[a-zA-Z]{2,8};")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+_BREAK = r"(?:[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t>]*)"
+_BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{_BREAK}[A-Za-z0-9+/_-]+)*={{0,2}}")
+_BREAKS = re.compile(_BREAK)
+_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|\\u\{0{0,4}([0-9A-Fa-f]{1,2})\}|\\U000000([0-9A-Fa-f]{2})|&#[xX]0{0,4}([0-9A-Fa-f]{1,2});|&#(0{0,4}[0-9]{1,3});|(\\[abfnrtv0\\'\"])")
+_SIMPLE = dict(zip("abfnrtv0\\'\"", b"\a\b\f\n\r\t\v\0\\'\""))
 _MAGIC = ((b"\x1f\x8b", "gzip"), (b"\x28\xb5\x2f\xfd", "zstd"), (b"BZh", "bzip2"), (b"\xfd7zXZ\x00", "xz"), (b"\x78\x01", "zlib"), (b"\x78\x5e", "zlib"), (b"\x78\x9c", "zlib"), (b"\x78\xda", "zlib"))
+_STARTS = re.compile(b"|".join(re.escape(magic) for magic, _ in _MAGIC), re.S)
 
 
 @dataclass
@@ -178,57 +182,127 @@ def views(raw: bytes) -> Iterator[tuple[str, np.ndarray]]:
                 yield text, at + width * np.arange(len(c) + 1)
 
 
-def _expand(raw: bytes, most: int) -> tuple[bytes, str] | None:
-    """(content, name of the compression) of compressed bytes; raises OverflowError past `most` bytes."""
+def _expand(raw: bytes, most: int) -> tuple[bytes, str, int] | None:
+    """(content of all members, name of the compression, bytes that were used) of compressed bytes; raises OverflowError past `most` bytes."""
     for magic, name in _MAGIC:
         if not raw.startswith(magic):
             continue
+        out, size, rest = [], 0, raw
         try:
-            if name == "zstd":
-                out = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read(most + 1)
-                if len(out) > most:
+            while name == "zstd" and rest.startswith(magic):
+                d, k = zstandard.ZstdDecompressor().decompressobj(), 0
+                while k < len(rest) and not d.eof:  # some bytes at a time, as it takes no bound on what comes out
+                    part = d.decompress(rest[k : k + 256])
+                    k += 256
+                    out.append(part)
+                    size += len(part)
+                    if size > most:
+                        raise OverflowError
+                rest = d.unused_data + rest[k:]
+            while name != "zstd" and rest.startswith(magic[:2]):
+                d = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[name]()
+                part = d.decompress(rest, most + 1 - size)
+                out.append(part)
+                size += len(part)
+                if size > most:
                     raise OverflowError
-                return (out, name) if out else None
-            d = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[name]()
-            out = d.decompress(raw, most + 1)
-            if len(out) > most:
-                raise OverflowError
-            return (out, name) if out else None
+                rest = d.unused_data.lstrip(b"\0") if d.eof else b""
         except (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError, zstandard.ZstdError):
-            continue
+            pass
+        if size:
+            return b"".join(out), name, len(raw) - len(rest)
     return None
 
 
-def _base64_layers(layer: Layer, room: list[int]) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        body = m.group().rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        chain = (*layer.chain, "base64")
-        packed = set()
-        while raw not in packed and (room[0] >= 0):
-            packed.add(raw)
+def _unpacked(raw: bytes, layer: Layer, name: str, begin: np.ndarray, finish: np.ndarray, room: list[int]) -> Iterator[Layer]:
+    """Layers of what is compressed anywhere in the bytes; begin and finish: where each byte lies in the original."""
+    at = 0
+    while m := _STARTS.search(raw, at):
+        at = m.start() + 1
+        packed, inner, chain, used = set(), raw[m.start() :], (*layer.chain, name), 0
+        while inner not in packed and room[0] >= 0:
+            packed.add(inner)
             try:
-                opened = _expand(raw, room[0])
+                opened = _expand(inner, room[0])
             except OverflowError:
-                s, e = layer.span(m.start(), m.end())
-                yield Layer("", np.array([s]), np.array([e]), 0, (*chain, "too_large"))
+                yield Layer("", begin[m.start() : m.start() + 1], finish[-1:], 0, (*chain, "too_large"))
+                at = len(raw)
+                used = 0
                 break
             if opened is None:
                 break
-            raw, name = opened
-            room[0] -= len(raw)
-            chain = (*chain, name)
-        s, e = layer.span(m.start(), m.end())
-        for text, first in views(raw):
-            if len(chain) == len(layer.chain) + 1 and layer.start is None:  # each character has its own four of base64
-                yield Layer(text, np.minimum(s + first[:-1] * 4 // 3, e - 1), np.minimum(s + (first[1:] - 1) * 4 // 3 + 2, e), 0, chain)
-            else:
+            inner, kind, n = opened
+            used = used or n
+            room[0] -= len(inner)
+            chain = (*chain, kind)
+        if used:
+            s, e = int(begin[m.start()]), int(finish[m.start() + used - 1])
+            for text, _ in views(inner):
                 yield Layer(text, np.full(len(text), s), np.full(len(text), e), 0, chain)
+            at = max(at, m.start() + used) if len(inner) >= 4 else at
+
+
+def _places(layer: Layer, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The original's spans of the layer's stretches from characters a to b."""
+    return (layer.base + a, layer.base + b) if layer.start is None else (layer.start[a], layer.end[b - 1])
+
+
+def _byte_layers(layer: Layer, room: list[int]) -> Iterator[Layer]:
+    """What is compressed in bytes that are written as URL or other escapes, over the whole layer, as white space may stand for itself."""
+    for name, sign in (("url", "%"), ("unicode", "\\&")):
+        if not any(c in layer.text for c in sign):
+            continue
+        out, first, last, at, high = bytearray(), [], [], 0, False
+        for m in _BYTE.finditer(layer.text):
+            if m.group()[0] not in sign:
+                continue
+            number = next((g for g in m.groups()[:6] if g), None)
+            value = int(number, 16) if number else int(m.group(7)) if m.group(7) else _SIMPLE[m.group(8)[1]]
+            if value > 255:
+                continue
+            for k in range(at, m.start()):
+                c = layer.text[k].encode("utf-8", "surrogatepass")
+                out += c
+                first += [k] * len(c)
+                last += [k + 1] * len(c)
+            out.append(value)
+            first.append(m.start())
+            last.append(m.end())
+            at = m.end()
+            high |= value > 126 or value < 32
+        if not high:
+            continue
+        for k in range(at, len(layer.text)):
+            c = layer.text[k].encode("utf-8", "surrogatepass")
+            out += c
+            first += [k] * len(c)
+            last += [k + 1] * len(c)
+        yield from _unpacked(bytes(out), layer, name, *_places(layer, np.array(first), np.array(last)), room)
+
+
+def _base64_layers(layer: Layer, room: list[int]) -> Iterator[Layer]:
+    """Decoded at each of four alignments, as what stands before the payload may belong to the alphabet; across line breaks."""
+    for m in _BASE64.finditer(layer.text):
+        body, a, place = m.group().rstrip("="), m.start(), None
+        if "\n" in body or "\\" in body:
+            keep, k = [], 0
+            for x in _BREAKS.finditer(body):
+                keep.append(np.arange(k, x.start()))
+                k = x.end()
+            place = np.concatenate([*keep, np.arange(k, len(body))])
+            body = _BREAKS.sub("", body)
+        body = body.replace("-", "+").replace("_", "/")
+        place = a + (np.arange(len(body)) if place is None else place)
+        for shift in range(4):
+            own = body[shift:]
+            own = own[: len(own) - (len(own) % 4 == 1)]
+            raw = base64.b64decode(own + "=" * (-len(own) % 4))
+            k = np.arange(len(raw))
+            begin, finish = _places(layer, place[shift + k * 4 // 3], place[shift + (k * 8 + 7) // 6] + 1)
+            for text, first in views(raw):
+                if len(text):
+                    yield Layer(text, begin[first[:-1]], finish[first[1:] - 1], 0, (*layer.chain, "base64"))
+            yield from _unpacked(raw, layer, "base64", begin, finish, room)
 
 
 def scan(text: str, most: int = MOST) -> list[tuple[str, str, int, int, str]]:
@@ -257,7 +331,7 @@ def scan(text: str, most: int = MOST) -> list[tuple[str, str, int, int, str]]:
                     g = 1 if rule.groups else 0
                     s, e = layer.span(m.start(g), m.end(g))
                     found.add((kind, ">".join(layer.chain), s, e, hashlib.sha256(m.group(g).encode("utf-8", "surrogatepass")).hexdigest()[:16]))
-        for new in (*_url_layers(layer), *_escape_layers(layer), *_base64_layers(layer, room)):
+        for new in (*_byte_layers(layer, room), *_base64_layers(layer, room), *_escape_layers(layer), *_url_layers(layer)):
             if new.text or new.chain[-1] == "too_large":
                 work.append(new)
     return sorted(found, key=lambda x: (x[2], x[3], x[0], x[1]))

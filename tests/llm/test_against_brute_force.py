@@ -1,7 +1,9 @@
 """Each operator against a plain version of itself, an exact round trip or held-out labels."""
 
 import base64
+import bz2
 import gzip
+import lzma
 import random
 import urllib.parse
 import zlib
@@ -277,6 +279,34 @@ def test_decoded_layers_that_are_not_plain_text():
     assert [k for k, *_ in secrets.scan(latin)] == ["cloud_access_key"]
 
 
+def payloads():
+    """(what it is, text) of encoded payloads that hold the key."""
+    rng = random.Random(31)
+    plain = f"user = ab, key {KEY} end; " + " ".join(str(rng.random()) for _ in range(12))
+    b64 = lambda x: base64.b64encode(x).decode()
+    for pad in range(60):
+        yield "wrapped", "a:\n" + base64.encodebytes(("." * pad + plain).encode()).decode() + "\nend"
+    wrapped = base64.encodebytes(gzip.compress(plain.encode())).decode()
+    yield "wrapped, packed", wrapped
+    yield "wrapped, escaped", wrapped.replace("\n", "\\n")
+    for before in ("https://host/v/", "https://host/v1/", "blob-", "a_", "id-12/", "x/y/z-"):
+        yield "delimiter", before + b64(plain.encode())
+        for pack in (gzip.compress, zlib.compress, zstandard.compress):
+            yield "delimiter, packed", before + b64(pack(plain.encode()))
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
+        yield "members", b64(pack(b"first part ") + pack(plain.encode()))
+        raw = pack(plain.encode())
+        yield "url", "q=" + urllib.parse.quote(raw, safe="") + "&r=1"
+        yield "escapes", "data " + "".join(f"\\x{c:02x}" for c in raw) + " tail"
+        yield "repr", "data = " + repr(raw)
+
+
+def test_payloads_that_are_wrapped_joined_or_of_several_members():
+    for what, text in payloads():
+        assert any(kind == "cloud_access_key" for kind, *_ in secrets.scan(text)), (what, text)
+        assert all(kind != "cloud_access_key" for kind, *_ in secrets.scan(secrets.redact(text))), (what, text)
+
+
 def test_every_planted_secret_is_found(spark):
     import re
 
