@@ -275,6 +275,25 @@ def test_skill_detection(spark):
     assert got == {"pdf": 2, "docx": 2}
 
 
+def test_skills_in_results_and_messages(spark):
+    from ctxweave.streaming.events import ENVELOPE, FIELDS
+    def event(**kw):
+        return tuple(kw.get(f) for f in FIELDS)
+
+    listed = '[{"type": "text", "text": "{\\"skills\\": [{\\"name\\": \\"pdf\\"}, {\\"name\\": \\"other\\"}]}"}]'
+    e = spark.createDataFrame(
+        [
+            event(event_type="tool_end", session_id="s", timestamp="1", tool_name="mcp__skills__list_skills", result=listed),
+            event(event_type="tool_end", session_id="s", timestamp="2", tool_name="search_by_name", result='[{"name": "docx"}]'),
+            event(event_type="tool_end", session_id="s", timestamp="3", tool_name="Bash", result='[{"name": "docx"}]'),
+            event(event_type="message", session_id="s", timestamp="4", content="---\nname: fresh\n---\nbody"),
+        ],
+        ENVELOPE,
+    )
+    uses = skills.detect_usage(e, spark.createDataFrame([("pdf",), ("docx",)], "name string"))
+    assert {(r["skill"], r["action"]) for r in uses.collect()} == {("pdf", "list_skills_result"), ("docx", "search_by_name_result"), ("fresh", "prompt_expansion")}
+
+
 def test_delete_skill_and_memory(spark):
     s, d = spark.createDataFrame([("a",), ("b",)], "name string"), spark.createDataFrame([("a", "b")], "src string, dst string")
     used = spark.createDataFrame([("s", "a")], "session_id string, skill string")
