@@ -29,24 +29,26 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, query: str, key: str, text: str, limit: int | None = 10, k1: float = K1, b: float = B) -> DataFrame:
     """(key, score) of documents that hold a query word, best first. A blank query finds nothing and reads nothing.
 
-    Only the query's words are exploded and counted; the corpus figures come from the
-    same pass over the texts.
+    One pass over the texts counts documents, words and the documents of each query
+    word; a second takes only the counts of the query's words of documents that have
+    any, and sums within the row, so that nothing is exploded or joined. `key` tells
+    documents apart.
     """
     wanted = terms(query)
     if not wanted:
         return docs.sparkSession.createDataFrame([], f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    sized = docs.select(F.col(key), words.alias("w")).select(key, F.size("w").alias("length"), F.filter("w", lambda x: x.isin(wanted)).alias("hits"))
-    corpus = sized.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("avg_length"))
-    tf = sized.where(F.size("hits") > 0).select(key, "length", F.explode("hits").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the query has words
-    scored = (
-        tf.join(F.broadcast(df), "term")
-        .crossJoin(F.broadcast(corpus))
-        .withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        .withColumn("part", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length"))))
-    )
-    out = scored.groupBy(key).agg(F.sum("part").alias("score"))
+    count = lambda t: F.size(F.filter("w", lambda x: x == t))
+    counts = [count(t).alias(f"tf{k}") for k, t in enumerate(wanted)]
+    sized = docs.select(F.col(key).alias("key"), words.alias("w")).select("key", F.size("w").alias("length"), *counts)
+    held = [F.count_if(F.col(f"tf{k}") > 0).cast("double").alias(f"df{k}") for k in range(len(wanted))]
+    corpus = sized.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("avg_length"), *held)  # one row
+    score = F.lit(0.0)
+    for k in range(len(wanted)):
+        tf, df = F.col(f"tf{k}"), F.col(f"df{k}")
+        score += F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
+    some = F.greatest(*[F.col(f"tf{k}") for k in range(len(wanted))], F.lit(0)) > 0
+    out = sized.where(some).crossJoin(F.broadcast(corpus)).select(F.col("key").alias(key), score.alias("score"))
     return out if limit is None else out.orderBy(F.desc("score"), key).limit(limit)
 
 

@@ -1,7 +1,8 @@
 """Writes as pure functions from tables to the next version of a table, and a store that swaps versions.
 
-Parquet has no MERGE INTO, so an upsert is one full outer join on the key, and a new
-version becomes visible when a pointer file names it: readers see either version whole.
+Parquet has no MERGE INTO, so an upsert is one full outer join on the key. A version is
+in force once its job has left the _SUCCESS mark, which comes last, and the highest such
+version is the table: there is no moment without one, and readers see a version whole.
 """
 
 from __future__ import annotations
@@ -92,8 +93,16 @@ def detach_delete(nodes: DataFrame, key: str, edges: list[DataFrame], gone: Data
     return kept, [e.join(ids, e[src] == ids["__gone"], "left_anti").join(ids, F.col(dst) == ids["__gone"], "left_anti") for e in edges]
 
 
+def finished(fs, path, letter: str) -> list[int]:
+    """Numbers of the folders <letter><number> whose writing job has ended well."""
+    if not fs.exists(path):
+        return []
+    names = [s.getPath() for s in fs.listStatus(path) if s.isDirectory()]
+    return [int(n[1:]) for p in names if (n := p.getName())[:1] == letter and n[1:].isdigit() and fs.exists(p.suffix("/_SUCCESS"))]
+
+
 class VersionedTable:
-    """A table in a folder: numbered parquet versions and a pointer to the one in force."""
+    """A table in a folder of numbered parquet versions; the highest finished one is in force."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -101,10 +110,7 @@ class VersionedTable:
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def version(self) -> int | None:
-        at = self._path(f"{self.path}/CURRENT")
-        if not self._fs.exists(at):
-            return None
-        return int(self.spark.read.text(f"{self.path}/CURRENT").first()[0])
+        return max(finished(self._fs, self._path(self.path), "v"), default=None)
 
     def read(self) -> DataFrame:
         v = self.version()
@@ -113,20 +119,75 @@ class VersionedTable:
         return self.spark.read.parquet(f"{self.path}/v{v}")
 
     def write(self, df: DataFrame, version: int | None = None) -> int:
-        """Writes a version and points to it. A version that is in force or older is not written again, so a repeated batch does nothing."""
+        """Writes a version. One that is in force or older is not written again, so a repeated batch does nothing; what a broken write left is overwritten."""
         now = self.version()
         new = (0 if now is None else now + 1) if version is None else version
         if now is not None and new <= now:
             return now
         df.write.mode("overwrite").parquet(f"{self.path}/v{new}")
-        temp, to = self._path(f"{self.path}/NEXT"), self._path(f"{self.path}/CURRENT")
-        out = self._fs.create(temp, True)
-        out.write(bytearray(f"{new}\n".encode()))
-        out.close()
-        self._fs.delete(to, False)
-        self._fs.rename(temp, to)
         return new
 
+    def vacuum(self, keep: int = 2) -> list[int]:
+        """Deletes all but the newest `keep` finished versions; returns which."""
+        gone = sorted(finished(self._fs, self._path(self.path), "v"))[: -max(1, keep)]
+        for v in gone:
+            self._fs.delete(self._path(f"{self.path}/v{v}"), True)
+        return gone
+
     def drop(self) -> dict[str, str]:
         self._fs.delete(self._path(self.path), True)
         return {"status": "success", "message": "data dropped"}
+
+
+class MergeLog:
+    """A table that takes batches at the cost of the batch: numbered deltas over a base, merged when it is read.
+
+    Of rows with one key that of the lowest batch is in force, and within a batch the
+    first by `order`. A batch that was written before is not written again. compact()
+    folds finished deltas into a new version of the base now and then; a base says by
+    its number which deltas it holds, so a break at any point loses and doubles nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str]):
+        self.spark, self.path, self.keys, self.order = spark, path.rstrip("/"), keys, order
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.base = VersionedTable(spark, f"{self.path}/base")
+
+    def deltas(self) -> list[int]:
+        """Finished batches that the base doesn't hold."""
+        held = self.base.version()
+        return sorted(k for k in finished(self._fs, self._path(self.path), "d") if held is None or k > held)
+
+    def append(self, batch: DataFrame, number: int) -> None:
+        held = self.base.version()
+        if held is not None and number <= held or self._fs.exists(self._path(f"{self.path}/d{number}/_SUCCESS")):
+            return
+        first_rows(batch, self.keys, self.order).write.mode("overwrite").parquet(f"{self.path}/d{number}")
+
+    def read(self) -> DataFrame:
+        held, parts = self.base.version(), []
+        if held is not None:
+            parts.append(self.base.read().withColumn("__batch", F.lit(-1).cast("long")))
+        parts += [self.spark.read.parquet(f"{self.path}/d{k}").withColumn("__batch", F.lit(k).cast("long")) for k in self.deltas()]
+        if not parts:
+            raise FileNotFoundError(self.path)
+        if len(parts) == 1:
+            return parts[0].drop("__batch")
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p, allowMissingColumns=True)
+        return first_rows(every, self.keys, ["__batch", *self.order]).drop("__batch")
+
+    def compact(self) -> None:
+        new = self.deltas()
+        if new:
+            self.base.write(self.read(), new[-1])
+
+    def vacuum(self) -> None:
+        """Deletes what no new reader needs: older bases and the deltas that the base holds."""
+        self.base.vacuum(1)
+        held = self.base.version()
+        for k in finished(self._fs, self._path(self.path), "d"):
+            if held is not None and k <= held:
+                self._fs.delete(self._path(f"{self.path}/d{k}"), True)

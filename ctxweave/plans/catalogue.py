@@ -31,6 +31,14 @@ class ForeignKey:
     constraint: str | None = None
 
 
+@dataclass
+class Reference:
+    table: str
+    columns: tuple[str, ...] = ()
+    targets: tuple[str, ...] = ()
+    constraint: str | None = None
+
+
 @dataclass
 class Table:
     name: str
@@ -50,6 +58,16 @@ class Table:
         """view, join or entity."""
         return "view" if self.view else "join" if is_join_table(self) else "entity"
 
+    @property
+    def references(self) -> list[Reference]:
+        """Foreign keys; columns of one constraint to one table are one key of several columns."""
+        out: dict[object, Reference] = {}
+        for k, f in enumerate(self.foreign_keys):
+            r = out.setdefault((f.constraint, f.table) if f.constraint else k, Reference(f.table, constraint=f.constraint))
+            r.columns += (f.column,)
+            r.targets += (f.target,)
+        return list(out.values())
+
     def key_code(self, column: str) -> str:
         """PRI, UNI, MUL or nothing, as database clients print it."""
         if column in self.primary_keys:
@@ -62,7 +80,7 @@ class Table:
 def is_join_table(t: Table) -> bool:
     """At least two foreign keys, and they are half of the columns or all that isn't auxiliary."""
     keys = {f.column for f in t.foreign_keys}
-    if len(t.foreign_keys) < 2:
+    if len(t.references) < 2:
         return False
     return len(keys) / len(t.columns) >= 0.5 or not [c for c in t.columns if c.name not in keys and c.name.lower() not in AUXILIARY]
 
@@ -78,6 +96,8 @@ class Relationship:
     columns: tuple[str, ...] = ()
     extra: tuple[str, ...] = ()
     constraint: str | None = None
+    targets: tuple[str, ...] = ()  # what the columns refer to
+    width: int = 1  # how many of the columns belong to the start
 
 
 class Catalogue:
@@ -106,15 +126,15 @@ class Catalogue:
         return cls(found)
 
     def relationships(self) -> list[Relationship]:
-        """One-to-many for each foreign key of an entity, many-to-many for each join table's first two."""
+        """One-to-many for each foreign key of an entity, many-to-many for each join table's first two. Keys of several columns stay whole."""
         out = []
         for t in self.tables.values():
             if t.kind == "entity":
-                out += [Relationship("one_to_many", t.name, f.table, f.column, f.target, constraint=f.constraint) for f in t.foreign_keys]
+                out += [Relationship("one_to_many", t.name, f.table, f.columns[0], f.targets[0], columns=f.columns, constraint=f.constraint, targets=f.targets) for f in t.references]
             elif t.kind == "join":
-                a, b = t.foreign_keys[:2]
+                a, b = t.references[:2]
                 keys = {f.column for f in t.foreign_keys}
-                out.append(Relationship("many_to_many", a.table, b.table, a.target, b.target, t.name, (a.column, b.column), tuple(c.name for c in t.columns if c.name not in keys)))
+                out.append(Relationship("many_to_many", a.table, b.table, a.targets[0], b.targets[0], t.name, a.columns + b.columns, tuple(c.name for c in t.columns if c.name not in keys), targets=a.targets + b.targets, width=len(a.columns)))
         return out
 
     def entities(self) -> list[Table]:

@@ -37,7 +37,9 @@ class Edge:
     properties: list[Property] = field(default_factory=list)
     source: str | None = None
     kind: str = "one_to_many"
-    columns: list[str] = field(default_factory=list)  # of the source table: start key and end key
+    columns: list[str] = field(default_factory=list)  # of the source table: the end's key; through a join table the start's, then the end's
+    targets: list[str] = field(default_factory=list)  # what the columns refer to, if not the ends' keys
+    width: int = 1  # how many of a join table's columns belong to the start
 
     @property
     def key(self) -> tuple[str, str, str]:
@@ -148,7 +150,7 @@ def model_tables(catalogue: Catalogue) -> GraphModel:
         if {r.start, r.end} <= {t.name for t in catalogue.entities()}:
             types = property_types(catalogue.tables[r.table]) if r.table else {}
             m.edges.append(
-                Edge(relation_name(r), [title_label(r.start)], [title_label(r.end)], [Property(x, types[x]) for x in r.extra], r.table or r.start, r.kind, list(r.columns) if r.columns else [r.start_column])
+                Edge(relation_name(r), [title_label(r.start)], [title_label(r.end)], [Property(x, types[x]) for x in r.extra], r.table or r.start, r.kind, list(r.columns), list(r.targets), r.width)
             )
     return m
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,18 +14,94 @@ class NotReadOnly(PermissionError):
     """A statement that isn't a query."""
 
 
+#: nodes of parsed plans that queries consist of; a statement with any other isn't read-only
+QUERY_NODES = frozenset(
+    "Aggregate AsOfJoin Deduplicate Distinct Except Expand Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit LocalRelation Offset OneRowRelation PipeOperator Pivot Project Range Repartition RepartitionByExpression "
+    "Sample Sort SubqueryAlias Tail Transpose Union UnionLoop UnionLoopRef Unpivot UnresolvedHaving UnresolvedHint UnresolvedInlineTable UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedTVFAliases "
+    "UnresolvedTableValuedFunction UnresolvedTranspose UnresolvedWith UnresolvedOrdinal Window WithWindowDefinition RelationTimeTravel ResolvedInlineTable".split()
+)
+#: functions that call whatever they are told to
+CALLS_OUT = frozenset({"reflect", "java_method", "try_reflect"})
+
+
+def _list(seq) -> list:
+    return [seq.apply(k) for k in range(seq.size())]
+
+
+def nodes_of(plan) -> Iterator:
+    """Every node of a parsed plan: children, common table expressions and subqueries in expressions."""
+    work = [plan]
+    while work:
+        p = work.pop()
+        yield p
+        work += _list(p.children())
+        work += _list(p.innerChildren())
+        work += _list(p.subqueries())
+        if _kind(p) == "InsertIntoStatement":
+            work.append(p.table())
+        if _kind(p) == "RelationTimeTravel":
+            work.append(p.relation())
+
+
+def _kind(p) -> str:
+    return p.getClass().getSimpleName().rstrip("$")
+
+
+def _called(plan) -> set[str]:
+    """Names of the functions in a node's expressions."""
+    found, work = set(), _list(plan.expressions())
+    while work:
+        e = work.pop()
+        if _kind(e) == "UnresolvedFunction":
+            found.add(_list(e.nameParts())[-1].lower())
+        work += _list(e.children())
+    return found
+
+
+def parsed(spark: SparkSession, text: str):
+    return spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+
+
 def is_read_only(spark: SparkSession, text: str) -> bool:
-    """By the parsed plan and not by words in the text, so keywords in literals and names do no harm."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    name = plan.getClass().getName()
-    if ".command." in name or "Command" in name or "Statement" in name:
-        return False
-    simple = name.rpartition(".")[2]
-    return not simple.startswith(("Create", "Drop", "Insert", "Delete", "Update", "Merge", "Alter", "Replace", "Truncate", "Set", "Cache", "Uncache", "Refresh", "Load", "Add", "Analyze", "Rename", "Append", "Overwrite"))
+    """By the parsed plan and not by words in the text, so keywords in literals and names do no harm.
+
+    All nodes must be of QUERY_NODES, wherever they stand, so an INSERT under common
+    table expressions or several of them on one source are found; functions that call
+    arbitrary code make a statement no query.
+    """
+    return all(_kind(p) in QUERY_NODES and not CALLS_OUT & _called(p) for p in nodes_of(parsed(spark, text)))
+
+
+def databases_of(spark: SparkSession, text: str) -> tuple[set[str], bool]:
+    """(databases that the statement names, whether it names something else that can't be told)."""
+    found, other = set(), False
+    for p in nodes_of(parsed(spark, text)):
+        kind = _kind(p)
+        if kind == "UnresolvedRelation":
+            parts = _list(p.multipartIdentifier())
+        elif kind in ("UnresolvedIdentifier", "UnresolvedTable", "UnresolvedTableOrView"):
+            parts = _list(p.nameParts() if kind == "UnresolvedIdentifier" else p.multipartIdentifier())
+        else:
+            other |= kind not in QUERY_NODES | {"InsertIntoStatement", "CreateTable", "CreateTableAsSelect", "DropTable"}
+            continue
+        if len(parts) == 3 and parts[0].lower() == "spark_catalog":
+            parts = parts[1:]
+        other |= len(parts) > 2
+        if len(parts) == 2:
+            found.add(parts[0])
+    return found, other
+
+
+_CURRENT = Lock()  # a session has one current database, and statements are analysed in it
 
 
 class GraphSession:
-    """Runs query texts in a namespace (a Spark database)."""
+    """Runs query texts in a namespace (a Spark database).
+
+    With `allowed`, a text may name no database outside of it, neither as the current
+    one nor in a qualified name. Names are resolved before another text gets its turn,
+    so sessions and threads don't meet in each other's namespace.
+    """
 
     def __init__(self, spark: SparkSession, read_only: bool = True, allowed: set[str] | None = None, default: str = "default"):
         self.spark, self.read_only, self.allowed, self.current = spark, read_only, allowed, default
@@ -43,8 +120,19 @@ class GraphSession:
     def sql(self, text: str, args: dict | list | None = None) -> DataFrame:
         if self.read_only and not is_read_only(self.spark, text):
             raise NotReadOnly("only queries are allowed here")
-        self.spark.catalog.setCurrentDatabase(self.current)
-        return self.spark.sql(text, args=args)
+        if self.allowed is not None:
+            named, other = databases_of(self.spark, text)
+            if other or {self.current, *named} - self.allowed:
+                raise LookupError("the statement names a database that isn't available")
+        with _CURRENT:
+            before = self.spark.catalog.currentDatabase()
+            self.spark.catalog.setCurrentDatabase(self.current)
+            try:
+                df = self.spark.sql(text, args=args)
+                df._jdf.queryExecution().optimizedPlan()  # settles current_database() too
+                return df
+            finally:
+                self.spark.catalog.setCurrentDatabase(before)
 
     def sql_async(self, text: str, args: dict | list | None = None) -> Future:
         """The rows, in the future."""

@@ -25,16 +25,22 @@ def distinct_actions(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return actions.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["action_id"])
 
 
-def write_actions(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Keeps an action table: each micro-batch merges its actions by id, the first in force, as a version numbered by the batch."""
+def action_log(spark: SparkSession, target: str) -> write.MergeLog:
+    return write.MergeLog(spark, target, ["action_id"], ["timestamp"])
+
+
+def write_actions(events: DataFrame, target: str, checkpoint: str, compact_every: int = 100) -> StreamingQuery:
+    """Keeps an action table: each micro-batch adds its actions as a delta numbered by the batch, and of actions of one id the first is in force.
+
+    A batch costs what it holds, however large the table. Every `compact_every` batches
+    the deltas are folded into the base.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        store = write.VersionedTable(batch.sparkSession, target)
-        new = to_actions(batch)
-        if store.version() is None:
-            store.write(write.first_rows(new, ["action_id"], ["timestamp"]), number)
-        else:
-            store.write(write.merge_first(store.read(), new, ["action_id"], ["timestamp"]), number)
+        log = action_log(batch.sparkSession, target)
+        log.append(to_actions(batch), number)
+        if len(log.deltas()) >= compact_every:
+            log.compact()
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -89,6 +89,30 @@ def test_ingest_and_checks(spark):
     assert [tuple(x) for x in ingest.constraint_violations(m, bad, spark).collect()] == [("Tags", "unique", "id", 2)]
 
 
+def test_keys_of_several_columns(spark):
+    key = lambda *names: [Column(n, "bigint", primary=True) for n in names]
+    c = Catalogue(
+        [
+            Table("stock", [*key("shop", "item"), Column("n", "int")]),
+            Table("sale", [*key("id"), Column("shop", "bigint"), Column("item", "bigint")], [ForeignKey("shop", "stock", "shop", "sale_fk"), ForeignKey("item", "stock", "item", "sale_fk")]),
+            Table("moved", [Column(x, "bigint") for x in ("shop", "item", "to_sale")], [ForeignKey("shop", "stock", "shop", "a_fk"), ForeignKey("item", "stock", "item", "a_fk"), ForeignKey("to_sale", "sale", "id", "b_fk")]),
+        ]
+    )
+    assert [(r.kind, r.columns, r.width) for r in c.relationships()] == [("one_to_many", ("shop", "item"), 1), ("many_to_many", ("shop", "item", "to_sale"), 2)]
+    frames = {
+        "stock": spark.createDataFrame([(1, 1, 5), (1, 2, 6), (2, 1, 7), (None, 2, 8)], "shop long, item long, n int"),
+        "sale": spark.createDataFrame([(10, 1, 2), (11, 2, 2), (12, 2, None), (13, 2, 1)], "id long, shop long, item long"),
+        "moved": spark.createDataFrame([(1, 1, 10), (1, 1, 10), (2, 2, 10), (2, 1, 99), (None, 1, 10)], "shop long, item long, to_sale long"),
+    }
+    m = M.model_tables(c)
+    m = M.GraphModel.from_document(json.loads(json.dumps(m.to_document())))
+    flat = lambda e: sorted((r["src"] if isinstance(r["src"], int) else tuple(r["src"]), r["dst"] if isinstance(r["dst"], int) else tuple(r["dst"])) for r in ingest.load_edge(e, m, frames).collect())
+    assert flat(m.edge("SALE")) == [(10, (1, 2)), (13, (2, 1))] and flat(m.edge("MOVED")) == [((1, 1), 10)]
+    by_number = ingest.load_fk_edge(frames["sale"], "id", "item", frames["stock"], ["shop", "item"], "n")
+    assert by_number.count() == 0
+    assert ingest.load_fk_edge(frames["sale"], "id", "item", frames["stock"], ["shop", "item"], "item").count() == 3 + 2 - 1
+
+
 def test_schema(spark):
     person, company = spark.createDataFrame([("Alice", 30)], "name string, age long"), spark.createDataFrame([("C",)], "name string")
     knows = spark.createDataFrame([("Alice", "Bob", 2020)], "src string, dst string, since long")
@@ -113,9 +137,50 @@ def test_service(spark):
     for text in ("create table t (a int) using parquet", "drop table if exists t", "set a = b"):
         with pytest.raises(service.NotReadOnly):
             s.sql(text)
+    spark.range(3).createOrReplaceTempView("gate_rows")
+    for text in (
+        "with c as (select 1 as a) insert into t select * from c",
+        "from gate_rows insert into a select id insert into b select id",
+        "insert overwrite table t select 1",
+        "create view v as select 1",
+        "create or replace temp view v as select 1",
+        "cache table gate_rows",
+        "truncate table t",
+        "merge into t using s on t.a = s.a when matched then delete",
+        "use other",
+        "select reflect('java.lang.System', 'exit', 1)",
+        "select * from gate_rows where id in (select java_method('java.lang.Long', 'parseLong', '1'))",
+    ):
+        assert not service.is_read_only(spark, text), text
+        with pytest.raises(service.NotReadOnly):
+            s.sql(text)
+    for text, n in {
+        "with c as (select id from gate_rows) select * from c union all select * from c": 6,
+        "select id, row_number() over (order by id) as r from gate_rows where id in (select max(id) from gate_rows) or exists (select 1) limit 2": 2,
+        "select * from values (1, 'insert into'), (2, 'drop') as v(a, b) lateral view explode(array(1, 2)) e as x order by a": 4,
+        "select a.id from gate_rows a join gate_rows b on a.id = b.id group by a.id having count(*) > 0": 3,
+        "from gate_rows |> where id > 0 |> select id": 2,
+        "select * from gate_rows tablesample (100 percent)": 3,
+    }.items():
+        assert s.sql(text).count() == n, text
     assert s.sql_async("select 1 as a").result()[0]["a"] == 1
     with pytest.raises(LookupError):
         service.GraphSession(spark, allowed=set()).use("default")
+    spark.sql("create database if not exists gate_other")
+    spark.sql("create or replace temp view outside as select 1 as a")
+    own = service.GraphSession(spark, allowed={"default"})
+    assert own.sql("select * from outside").count() == 1 and own.sql("select count(*) from gate_rows").first()[0] == 3
+    for text in ("select * from gate_other.t", "with c as (select * from gate_other.t) select * from c", "select 1 where exists (select * from spark_catalog.gate_other.t)", "select * from parquet.`/root`", "select * from other_catalog.default.t"):
+        with pytest.raises(LookupError):
+            own.sql(text)
+    writer = service.GraphSession(spark, read_only=False, allowed={"default"})
+    for text in ("insert into gate_other.t select 1", "drop table if exists gate_other.t", "use gate_other", "create table gate_other.t (a int) using parquet"):
+        with pytest.raises(LookupError):
+            writer.sql(text)
+    other = service.GraphSession(spark, default="gate_other")
+    both = [(x, x.sql_async("select current_database() as d")) for x in [other, s] * 8]
+    assert all(f.result()[0]["d"] == x.current for x, f in both) and spark.catalog.currentDatabase() == "default"
+    spark.sql("drop database gate_other")
     box = service.Toolbox().add("q", lambda text: s.sql(text))
     assert box.call("q", text="select 1 as a") == [{"a": 1}] and "error" in box.call("q", text="selec")[0]
     with pytest.raises(ValueError):

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from ctxweave.operators import write
 from ctxweave.streaming import actions as A
 from ctxweave.streaming import events as E
@@ -54,8 +56,35 @@ def test_stream_is_batch(spark, tmp_path):
     A.write_actions(stream, target, str(tmp_path / "cp")).awaitTermination(120)
     e.coalesce(1).write.mode("append").json(str(source / "2"))  # the same events again
     A.write_actions(stream, target, str(tmp_path / "cp")).awaitTermination(120)
-    got = {r["action_id"] for r in write.VersionedTable(spark, target).read().collect()}
-    assert got == {r["action_id"] for r in E.to_actions(e).collect()} and len(got) == 3
+    log = A.action_log(spark, target)
+    got = [r["action_id"] for r in log.read().collect()]
+    assert sorted(got) == sorted(r["action_id"] for r in E.to_actions(e).collect()) and len(got) == 3
+    before = sorted(map(str, log.read().collect()))
+    log.compact()
+    log.vacuum()
+    assert log.deltas() == [] and sorted(map(str, log.read().collect())) == before
+
+
+def test_a_log_survives_a_break_at_any_step(spark, tmp_path):
+    batch = lambda k: spark.createDataFrame([(k, k, "x"), (0, k, "late")], "id long, at long, v string")
+    want = lambda n: sorted([(0, 0, "late"), *((k, k, "x") for k in range(1, n))])
+    log = write.MergeLog(spark, str(tmp_path / "log"), ["id"], ["at", "v"])
+    with pytest.raises(FileNotFoundError):
+        log.read()
+    for k in range(3):
+        log.append(batch(k), k)
+        log.append(batch(7), k)  # a batch that comes again
+        assert sorted(map(tuple, log.read().collect())) == want(k + 1)
+    (tmp_path / "log/d3").mkdir()  # a delta and a base whose jobs broke off
+    (tmp_path / "log/base/v2").mkdir(parents=True)
+    assert sorted(map(tuple, log.read().collect())) == want(3)
+    log.append(batch(3), 3)
+    log.compact()
+    log.append(batch(4), 4)
+    for _ in range(2):
+        assert sorted(map(tuple, log.read().collect())) == want(5)
+        log.vacuum()
+    assert log.deltas() == [4]
 
 
 def test_followed_by_stream(spark, tmp_path):
