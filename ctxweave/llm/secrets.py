@@ -1,11 +1,13 @@
 """Secret scan through nested encodings.
 
-A worklist starts with the text. Each layer is scanned with the rules, then every
-stretch of it that is URL-encoded, escaped Unicode or base64 is decoded, and bytes that
-are compressed are expanded; what comes out is a new layer. A layer whose content was
-already met at the same place is not taken up again, so cycles end, and the list is
-empty at the fixpoint. Every layer knows for each of its characters which span of the
-original text it came from, so findings have spans of the original.
+A worklist starts with the text. Each layer is scanned with the rules. Then new layers
+are made of it: the whole layer with all its URL escapes decoded in place, with all its
+Unicode and markup escapes, and with all its base64 that is plain text, so a rule sees
+a decoded value with what stands about it; and by itself whatever each stretch of base64
+decodes to, text or not, at each alignment, and whatever compressed bytes expand to. A
+layer whose content was already met at the same place is not taken up again, so cycles
+end, and the list is empty at the fixpoint. Every layer knows for each of its characters
+which span of the original text it came from, so findings have spans of the original.
 """
 
 from __future__ import annotations
@@ -43,8 +45,8 @@ RULES: list[tuple[str, tuple[str, ...], re.Pattern]] = [
     ("url_password", ("://",), re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.-]{1,20}://[^\s/:@\"']{1,256}:([^\s/@\"']{3,256})@")),
     ("assigned_secret", ("token", "secret", "passw", "key", "auth"), re.compile(r"(?i)(?<![a-z])(?:[a-z0-9]+[_-])*(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|auth)(?:[_-](?:key|token|id))?[\"']?\s{0,8}(?:=|:|=>)\s{0,8}[\"']?([A-Za-z0-9_\-+/.=~]{16,})")),
 ]
-_URL = re.compile(r"%[0-9A-Fa-f]{2}")
-_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|&[a-zA-Z]{2,8};")
+_URL = re.compile(r"%25(?:25)*|%[0-9A-Fa-f]{2}")
+_ESCAPE = re.compile(r"(?P<again>\\x5[cC](?:x5[cC])+|\\u005[cC](?:u005[cC])+|&amp;(?:amp;)+)|\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|&[a-zA-Z]{2,8};")
 _BREAK = r"(?:[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t>]*)"
 _BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{_BREAK}[A-Za-z0-9+/_-]+)*={{0,2}}")
 _BREAKS = re.compile(_BREAK)
@@ -57,110 +59,95 @@ _STARTS = re.compile(b"|".join(re.escape(magic) for magic, _ in _MAGIC), re.S)
 @dataclass
 class Layer:
     text: str
-    start: np.ndarray | None  # None: the original, or a stretch of it from `base`
+    start: np.ndarray | None  # None: the original
     end: np.ndarray | None
-    base: int
     chain: tuple[str, ...]
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         if self.start is None:
-            return self.base + a, self.base + b
+            return a, b
         return int(self.start[a]), int(self.end[b - 1])
 
 
-def _cut(layer: Layer, a: int, b: int) -> Layer:
-    if layer.start is None:
-        return Layer(layer.text[a:b], None, None, layer.base + a, layer.chain)
-    return Layer(layer.text[a:b], layer.start[a:b], layer.end[a:b], 0, layer.chain)
+Part = tuple[int, int, str, np.ndarray | None, np.ndarray | None]
 
 
-def _substituted(layer: Layer, parts: list[tuple[int, int, str]], name: str) -> Layer:
-    """The layer with its stretches (a, b) replaced by texts."""
+def _substituted(layer: Layer, parts: list[Part], name: str) -> Layer:
+    """The layer with its stretches (a, b) replaced by texts, whose characters lie at the given spans of the original, or at the whole stretch."""
     out, starts, ends, at = [], [], [], 0
 
     def copy(a: int, b: int) -> None:
         if a < b:
             out.append(layer.text[a:b])
-            starts.append(np.arange(layer.base + a, layer.base + b) if layer.start is None else layer.start[a:b])
-            ends.append(np.arange(layer.base + a + 1, layer.base + b + 1) if layer.start is None else layer.end[a:b])
+            starts.append(np.arange(a, b) if layer.start is None else layer.start[a:b])
+            ends.append(np.arange(a + 1, b + 1) if layer.start is None else layer.end[a:b])
 
-    for a, b, new in parts:
+    for a, b, new, first, last in parts:
         copy(at, a)
         s, e = layer.span(a, b)
         out.append(new)
-        starts.append(np.full(len(new), s))
-        ends.append(np.full(len(new), e))
+        starts.append(np.full(len(new), s) if first is None else first)
+        ends.append(np.full(len(new), e) if last is None else last)
         at = b
     copy(at, len(layer.text))
-    return Layer("".join(out), np.concatenate(starts), np.concatenate(ends), 0, (*layer.chain, name))
-
-
-def _words_about(text: str, found: Iterator[re.Match]) -> Iterator[tuple[int, int]]:
-    """Stretches without white space about the matches; one stretch for matches that share it."""
-    stop = -1
-    for m in found:
-        if m.start() < stop:
-            continue
-        a, b = m.start(), m.end()
-        while a > 0 and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
-        stop = b
-        yield a, b
+    return Layer("".join(out), np.concatenate(starts), np.concatenate(ends), (*layer.chain, name))
 
 
 def _url_layers(layer: Layer) -> Iterator[Layer]:
+    """The whole layer with its URL escapes decoded; a percent sign escaped many times over is one."""
     if "%" not in layer.text:
         return
-    for a, b in _words_about(layer.text, _URL.finditer(layer.text)):
-        piece = _cut(layer, a, b)
-        parts = []
-        for run in re.finditer(r"(?:%[0-9A-Fa-f]{2})+", piece.text):
-            raw, k = bytes.fromhex(run.group().replace("%", "")), 0
-            while k < len(raw):  # one character at a time, for its span
-                for size in (1, 2, 3, 4):
-                    try:
-                        char = raw[k : k + size].decode("utf-8")
-                    except UnicodeDecodeError:
-                        continue
-                    if char:
-                        break
-                else:
-                    char, size = chr(raw[k]), 1
-                parts.append((run.start() + 3 * k, run.start() + 3 * min(k + size, len(raw)), char))
-                k += size
-        yield _substituted(piece, parts, "url")
+    parts: list[Part] = []
+    found = [m.span() for m in _URL.finditer(layer.text)]
+    raw = bytes(int(layer.text[x + 1 : x + 3], 16) for x, _ in found)
+    k = 0
+    while k < len(raw):  # one character at a time, for its span
+        for size in (1, 2, 3, 4):
+            joined = k + size <= len(raw) and all(found[j][1] == found[j + 1][0] for j in range(k, k + size - 1))
+            try:
+                char = raw[k : k + size].decode("utf-8") if joined else ""
+            except UnicodeDecodeError:
+                continue
+            if char:
+                break
+        else:
+            char, size = chr(raw[k]), 1
+        parts.append((found[k][0], found[k + size - 1][1], char, None, None))
+        k += size
+    if parts:
+        yield _substituted(layer, parts, "url")
 
 
 def _escape_layers(layer: Layer) -> Iterator[Layer]:
+    """The whole layer with its Unicode and markup escapes decoded; a sign escaped many times over is one."""
     if "\\" not in layer.text and "&" not in layer.text:
         return
-    for a, b in _words_about(layer.text, _ESCAPE.finditer(layer.text)):
-        piece = _cut(layer, a, b)
-        parts, high = [], None
-        for m in _ESCAPE.finditer(piece.text):
-            code = next((g for g in m.groups() if g), None)
-            if code is None:
-                new = html.unescape(m.group())
-                if new == m.group():
-                    continue
-            else:
-                point = int(code, 16)
-                if 0xD800 <= point < 0xDC00:
-                    high = (m.start(), m.end(), point)
-                    continue
-                if 0xDC00 <= point < 0xE000:
-                    if high and high[1] == m.start():
-                        parts.append((high[0], m.end(), chr(0x10000 + ((high[2] - 0xD800) << 10) + point - 0xDC00)))
-                    high = None
-                    continue
-                if point > 0x10FFFF:
-                    continue
-                new = chr(point)
-            parts.append((m.start(), m.end(), new))
-        if parts:
-            yield _substituted(piece, parts, "unicode")
+    parts: list[Part] = []
+    high = None
+    for m in _ESCAPE.finditer(layer.text):
+        code = next((g for g in m.groups() if g), None)
+        if m.lastgroup == "again":
+            new = m.group()[0]
+        elif code is None:
+            new = html.unescape(m.group())
+            if new == m.group():
+                continue
+        else:
+            point = int(code, 16)
+            if 0xD800 <= point < 0xDC00:
+                high = (m.start(), m.end(), point)
+                continue
+            if 0xDC00 <= point < 0xE000:
+                if high and high[1] == m.start():
+                    parts.append((high[0], m.end(), chr(0x10000 + ((high[2] - 0xD800) << 10) + point - 0xDC00), None, None))
+                high = None
+                continue
+            if point > 0x10FFFF:
+                continue
+            new = chr(point)
+        parts.append((m.start(), m.end(), new, None, None))
+    if parts:
+        yield _substituted(layer, parts, "unicode")
 
 
 def views(raw: bytes) -> Iterator[tuple[str, np.ndarray]]:
@@ -225,7 +212,7 @@ def _unpacked(raw: bytes, layer: Layer, name: str, begin: np.ndarray, finish: np
             try:
                 opened = _expand(inner, room[0])
             except OverflowError:
-                yield Layer("", begin[m.start() : m.start() + 1], finish[-1:], 0, (*chain, "too_large"))
+                yield Layer("", begin[m.start() : m.start() + 1], finish[-1:], (*chain, "too_large"))
                 at = len(raw)
                 used = 0
                 break
@@ -238,13 +225,13 @@ def _unpacked(raw: bytes, layer: Layer, name: str, begin: np.ndarray, finish: np
         if used:
             s, e = int(begin[m.start()]), int(finish[m.start() + used - 1])
             for text, _ in views(inner):
-                yield Layer(text, np.full(len(text), s), np.full(len(text), e), 0, chain)
+                yield Layer(text, np.full(len(text), s), np.full(len(text), e), chain)
             at = max(at, m.start() + used) if len(inner) >= 4 else at
 
 
 def _places(layer: Layer, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The original's spans of the layer's stretches from characters a to b."""
-    return (layer.base + a, layer.base + b) if layer.start is None else (layer.start[a], layer.end[b - 1])
+    return (a, b) if layer.start is None else (layer.start[a], layer.end[b - 1])
 
 
 def _byte_layers(layer: Layer, room: list[int]) -> Iterator[Layer]:
@@ -281,7 +268,8 @@ def _byte_layers(layer: Layer, room: list[int]) -> Iterator[Layer]:
 
 
 def _base64_layers(layer: Layer, room: list[int]) -> Iterator[Layer]:
-    """Decoded at each of four alignments, as what stands before the payload may belong to the alphabet; across line breaks."""
+    """Decoded at each of four alignments, as what stands before the payload may belong to the alphabet; across line breaks. At the end the layer with all that is plain text in place."""
+    parts: list[Part] = []
     for m in _BASE64.finditer(layer.text):
         body, a, place = m.group().rstrip("="), m.start(), None
         if "\n" in body or "\\" in body:
@@ -301,23 +289,32 @@ def _base64_layers(layer: Layer, room: list[int]) -> Iterator[Layer]:
             begin, finish = _places(layer, place[shift + k * 4 // 3], place[shift + (k * 8 + 7) // 6] + 1)
             for text, first in views(raw):
                 if len(text):
-                    yield Layer(text, begin[first[:-1]], finish[first[1:] - 1], 0, (*layer.chain, "base64"))
+                    spans = begin[first[:-1]], finish[first[1:] - 1]
+                    yield Layer(text, *spans, (*layer.chain, "base64"))
+                    if shift == 0 and text.isascii() and text.isprintable():
+                        parts.append((m.start(), m.end(), text, *spans))
             yield from _unpacked(raw, layer, "base64", begin, finish, room)
+    if parts:
+        yield _substituted(layer, parts, "base64")
 
 
 def scan(text: str, most: int = MOST) -> list[tuple[str, str, int, int, str]]:
-    """(kind, layers, start, end, digest) of each secret, by place.
+    """(kind, layers, start, end, digest) of each secret, by place; what a layer shows again of the layer it was made of is told once.
 
     `most` bounds the bytes that one text's compressed layers may expand to; a stretch
     that would pass it is itself reported, as kind "too_large".
     """
-    found: set[tuple[str, str, int, int, str]] = set()
-    work, room = [Layer(text, None, None, 0, ())], [most]
+    found: dict[tuple[str, int, int, str], set[tuple[str, ...]]] = {}
+    work, room = [Layer(text, None, None, ())], [most]
+
+    def add(kind: str, chain: tuple[str, ...], s: int, e: int, digest: str) -> None:
+        found.setdefault((kind, s, e, digest), set()).add(chain)
+
     met: set[tuple] = set()
     while work:
         layer = work.pop()
         if layer.chain and layer.chain[-1] == "too_large":
-            found.add(("too_large", ">".join(layer.chain[:-1]), int(layer.start[0]), int(layer.end[0]), ""))
+            add("too_large", layer.chain[:-1], int(layer.start[0]), int(layer.end[0]), "")
             continue
         if layer.chain:
             key = (layer.text, *layer.span(0, len(layer.text)))
@@ -330,11 +327,12 @@ def scan(text: str, most: int = MOST) -> list[tuple[str, str, int, int, str]]:
                 for m in rule.finditer(layer.text):
                     g = 1 if rule.groups else 0
                     s, e = layer.span(m.start(g), m.end(g))
-                    found.add((kind, ">".join(layer.chain), s, e, hashlib.sha256(m.group(g).encode("utf-8", "surrogatepass")).hexdigest()[:16]))
+                    add(kind, layer.chain, s, e, hashlib.sha256(m.group(g).encode("utf-8", "surrogatepass")).hexdigest()[:16])
         for new in (*_byte_layers(layer, room), *_base64_layers(layer, room), *_escape_layers(layer), *_url_layers(layer)):
             if new.text or new.chain[-1] == "too_large":
                 work.append(new)
-    return sorted(found, key=lambda x: (x[2], x[3], x[0], x[1]))
+    own = lambda chains: (c for c in chains if not any(c[:k] in chains for k in range(len(c))))
+    return sorted(((kind, ">".join(c), s, e, digest) for (kind, s, e, digest), chains in found.items() for c in own(chains)), key=lambda x: (x[2], x[3], x[0], x[1]))
 
 
 def redact(text: str, mask: str = MASK, most: int = MOST) -> str:
@@ -372,7 +370,12 @@ def find_secrets(docs: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def redact_documents(docs: DataFrame, text: str = "text", length: str = "n_chars", mask: str = MASK, most: int = MOST) -> DataFrame:
-    """The documents with secrets masked in their text, and the length column, if there is one, brought up to date."""
+    """The documents with secrets masked in their text, and the length column, if there is one, brought up to date.
+
+    All rows and columns stay, whatever their names. Null and empty texts stay as they
+    are, and so does the length beside a text without secrets, right or wrong. Repeated
+    rows are masked alike. An empty table gives an empty result.
+    """
     prepare(docs.sparkSession)
     at = docs.columns.index(text)
     n_at = docs.columns.index(length) if length in docs.columns else None
