@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import sys
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,6 +34,7 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 SHORT, KEPT, RETAINED = 64, 500_000, 150_000
 _NONE = np.int32(0x7FFFFFFF)
 _MARKS = frozenset(".,;:!?")
+_MIXED = re.compile(r" \s|\s ")
 
 
 class Encoder:
@@ -43,7 +45,7 @@ class Encoder:
         self.pieces = [b""] * (max(self.ranks.values()) + 1)
         for piece, rank in self.ranks.items():
             self.pieces[rank] = piece
-        self.pattern = regex.compile(pattern)
+        self.pattern, self.shipped = regex.compile(pattern), pattern == PATTERN
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         keys, merged = [], []
         for piece, rank in self.ranks.items():
@@ -184,25 +186,29 @@ class Encoder:
         return out
 
     def stretches(self, text: str) -> list[str]:
-        """The text cut before every single space that stands between other characters.
+        """The words of the text, or longer stretches of it that cut() will cut into words.
 
-        The pattern never joins what lies on either side of such a cut, so each stretch
-        can be encoded, and remembered, by itself. A text with a run of spaces is cut
-        by the pattern at once.
+        With the shipped pattern a text in which no space has white space beside it is
+        cut before every space: the pattern has a space only at the start of a word or
+        among white space alone, so no word reaches over such a cut, and what it looks
+        ahead at, white space before something else or the end, is on neither side. All
+        other texts, and those of other patterns, are cut by the pattern at once.
         """
-        if "  " in text:
-            return self.pattern.findall(text)
+        if not self.shipped or _MIXED.search(text):
+            return [m.group() for m in self.pattern.finditer(text)]
         first, *rest = text.split(" ")
         return ([first] if first else []) + [" " + x for x in rest]
 
     def cut(self, stretch: str) -> list[str]:
-        """The words of a stretch; letters, with or without a mark behind them, need no pattern."""
+        """The words of a stretch. Of the shipped pattern's, letters with or without a mark behind them need no pattern."""
+        if not self.shipped:
+            return [stretch]
         body = stretch[1:] if stretch[:1] == " " else stretch
         if body.isalpha():
             return [stretch]
         if body[-1:] in _MARKS and body[:-1].isalpha():
             return [stretch[:-1], body[-1]]
-        return self.pattern.findall(stretch)
+        return [m.group() for m in self.pattern.finditer(stretch)]
 
     def learn(self, stretches: list[str]) -> None:
         """Encode stretches that aren't known yet."""
@@ -276,7 +282,9 @@ def _encode(path: str, pattern: str, check: bool):
 def encode(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN, check: bool = True) -> DataFrame:
     """(doc_id, tokens, n_tokens, round_trip) of every row.
 
-    round_trip tells whether the tokens decode to the text again. A null text has null
+    Words are cut by `pattern`; what it doesn't match is left out, as is the way with
+    such patterns, and round_trip, which tells whether the tokens decode to the text
+    again (null without `check`), is false then. A null text has null
     tokens; an empty text has none. Whole texts are encoded, however long. Repeated
     rows are encoded each by itself; a null doc_id stays null. Other columns are not
     read. An empty table gives an empty result. Special tokens' strings in a text are
@@ -287,7 +295,12 @@ def encode(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN, check: bo
 
 
 def decode(tokens: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
-    """(doc_id, text) of (doc_id, tokens). Null tokens give a null text, no tokens an empty one."""
+    """(doc_id, text) of (doc_id, tokens).
+
+    Null tokens give a null text, no tokens an empty one. Repeated rows are decoded each
+    by itself; a null doc_id stays null. Other columns are not read. An empty table
+    gives an empty result.
+    """
     prepare(tokens.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -210,6 +210,37 @@ def test_bpe_is_the_public_encoding():
     assert all(enc.encode_long(w.encode()).tolist() == ref.encode_ordinary(w) for w in words)
 
 
+PATTERNS = [
+    bpe.PATTERN,
+    r"""(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+""",
+    r"""\p{L}|\s|.""",
+]
+
+
+@pytest.mark.parametrize("pattern", PATTERNS)
+def test_bpe_honours_the_pattern(tmp_path, pattern):
+    """With ranks that join white space, other letters and marks, so that every wrong cut shows."""
+    pieces = [bytes([b]) for b in range(256)] + ["".join(x).encode() for x in ("\n ", " \n", "\t ", "  ", "\u00a0 ", " a", "ab", " ab", "a.", ". ", "a\n", "\u3000 ")]
+    pieces = list(dict.fromkeys(pieces + ["\u00a0".encode(), "\u3000".encode()[:2], "\u3000".encode()]))
+    (tmp_path / "r").write_text("".join(f"{base64.b64encode(p).decode()} {k}\n" for k, p in enumerate(pieces)))
+    enc = bpe.Encoder(str(tmp_path / "r"), pattern)
+    ref = tiktoken.Encoding("ref", pat_str=pattern.replace("++$", "+$").replace("++", "+"), mergeable_ranks=enc.ranks, special_tokens={})
+    rng = random.Random(41)
+    texts = ["a\n ", "a\t \nb", "hello", "", " ", "a b", " a b ", "a. b", "a \u00a0b", "a\u3000 b", "it's a\n\n b"]
+    texts += ["".join(rng.choice("ab. \n\t\u00a0\u3000'1") for _ in range(rng.randint(1, 25))) for _ in range(3000)]
+    assert [g.tolist() for g in enc.encode_batch(texts)] == [ref.encode_ordinary(t) for t in texts]
+
+
+def test_letters_are_the_patterns_letters():
+    import regex
+
+    letter, space = regex.compile(r"\p{L}"), regex.compile(r"\s")
+    for k in [*range(0xD800), *range(0xE000, 0x110000)]:
+        c = chr(k)
+        assert not c.isalpha() or letter.match(c)
+        assert not space.match(c) or bpe._MIXED.match(c + " ")
+
+
 def test_bpe_query_round_trips(spark, data):
     tokens = queries.QUERIES["op5_bpe"](spark, data)
     texts = {r["doc_id"]: r["text"] for r in table(spark, data, "documents").collect()}
@@ -261,6 +292,29 @@ def test_spans_are_exact():
     assert secrets.redact(text) == "a [SECRET] b token%3D%22[SECRET]%22 c"
 
 
+def test_decoded_values_are_read_with_what_stands_about_them():
+    value = "0a1b2c3d4e5f60718293"
+    esc = lambda f: "".join(f(c) for c in value)
+    for one in ("%30" + value[1:], esc(lambda c: f"%{ord(c):02x}"), esc(lambda c: f"\\u{ord(c):04x}"), esc(lambda c: f"&#{ord(c)};"), base64.b64encode(value.encode()).decode(), "%2525" + "25" * 500 + "30" + value[1:], "\\x5c" + "x5c" * 700 + "x30" + value[1:]):
+        text = f"é api_key = {one} end"
+        got = {(text[s:e], layers != "") for k, layers, s, e, _ in secrets.scan(text) if k == "assigned_secret"}
+        assert any(part.startswith(one[:5]) and deep or part == one for part, deep in got), (one[:40], got)
+        assert value not in secrets.redact(text) and secrets.scan(secrets.redact(text)) == []
+    text = f"api_key = {value} and 100%25 of it &amp; more"  # one finding, not one a layer
+    assert [(k, layers, text[s:e]) for k, layers, s, e, _ in secrets.scan(text)] == [("assigned_secret", "", value)]
+
+
+def test_plain_findings_are_those_of_the_rules_alone(spark, data):
+    import re
+
+    for t in [r["text"] for r in table(spark, data, "documents").collect() if r["text"]]:
+        plain = {(kind, *m.span(1 if rule.groups else 0)) for kind, _, rule in secrets.RULES for m in rule.finditer(t)}
+        got = secrets.scan(t)
+        assert {(k, s, e) for k, layers, s, e, _ in got if not layers} == plain
+        if not re.search(r"[%\\&]|[A-Za-z0-9+/_-]{16}", t):
+            assert len(got) == len(plain)
+
+
 def test_cycles_and_bombs_end():
     assert secrets.scan("%25" * 1000) == []
     bomb = base64.b64encode(gzip.compress(b"0" * 5_000_000)).decode()
