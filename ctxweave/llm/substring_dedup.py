@@ -66,12 +66,20 @@ class Pieces:
         self.first = w.first[:-1]
         self.lines = np.zeros((0, 2), np.int64)
         self._chars: np.ndarray | None = None
+        self._same: np.ndarray | None = None
         if n == 0:
             return
         line = np.searchsorted(np.flatnonzero(w.raw == 10), w.starts)
         head = np.flatnonzero(np.concatenate(([True], (line[1:] != line[:-1]) | (self.rows[1:] != self.rows[:-1]))))
         self.lines = np.stack([head, np.append(head[1:], n)], axis=1)
 
+    def varied(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether words a to b are more than one word said again and again."""
+        if self._same is None:
+            h = self.w.hashes
+            self._same = np.concatenate(([0, 0], np.cumsum(h[1:] == h[:-1])))
+        return self._same[b] - self._same[np.minimum(a + 1, b)] < np.maximum(b - a - 1, 1)
+
     @property
     def chars(self) -> np.ndarray:
         """Number of characters up to and with each byte."""
@@ -129,6 +137,7 @@ class Windows:
             return
         end = np.repeat(p.w.first[1:], np.diff(p.w.first))
         at = np.flatnonzero(np.arange(n) + size <= end)
+        at = at[p.varied(at, at + size)]
         if not len(at):
             return
         up = _powers(_BASE, n)
@@ -214,7 +223,7 @@ class Batch:
         for at, text in grams.pieces(texts):
             p = Pieces(text)
             w = Windows(p, size)
-            lines = p.lines[p.lines[:, 1] - p.lines[:, 0] >= least]
+            lines = p.lines[(p.lines[:, 1] - p.lines[:, 0] >= least) & p.varied(*p.lines.T)]
             h, x = np.unique(p.hashes(lines), return_index=True)
             keys.append(w.key)
             if len(lines):
@@ -520,8 +529,8 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     Pieces are windows of 0.6 * least_words words, which are found in all cases, and
     whole lines of at least `least_paragraph` words; a shorter line is only looked up
     in windows that reach over it. Pieces at most `gap` words apart are one stretch.
-    Repetitions within one document are left alone, and so are stretches of less than
-    `least_words` words. Rows with a null id, and null, empty and blank texts, give
+    Repetitions within one document are left alone, windows and lines of one word over
+    and over among them, and so are stretches of less than `least_words` words. Rows with a null id, and null, empty and blank texts, give
     nothing. Rows of one id are one document. Other columns are not read, whatever
     their names. An empty table gives an empty result.
     """
