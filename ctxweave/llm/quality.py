@@ -100,8 +100,13 @@ def fit(good: list[str], bad: list[str], prior: float, block: int = BLOCK, size:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, block: int = BLOCK, size: int = DICTIONARY, level: int = LEVEL) -> Model:
-    """Fit on labelled documents; labels of null, of no document or of a null text are left out."""
-    known = labels.select(F.col("doc_id").alias("i"), F.col("quality").cast("int").alias("y")).where("i is not null and y in (0, 1)").distinct()
+    """Fit on labelled documents.
+
+    Labels of null, of no document or of a null text are left out, and so are those of
+    a document that is labelled both ways; a label that comes twice counts once. Rows of
+    one doc_id are a text each. Equal hashes are told apart by doc_id and text.
+    """
+    known = labels.select(F.col("doc_id").alias("i"), F.col("quality").cast("int").alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("i", "y")
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(per_class) for y in (0, 1)]
     sample = parts[0].union(parts[1])  # at most 2 x per_class rows of 12 bytes
@@ -113,7 +118,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """(doc_id, quality, keep) of every row: the probability of being good, and whether it reaches the threshold.
 
     A null text has a null score and isn't kept. An empty text tells nothing and scores
-    what a size difference of 0 does. Repeated rows are scored alike, each by itself; a
+    what a size difference of 0 does. A score that is just the threshold is kept. Repeated rows are scored alike, each by itself; a
     null doc_id stays null. Other columns are not read. An empty table gives an empty
     result.
     """

