@@ -1,10 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 The test items' word n-grams form a hash set; one pass over all documents finds where
-they occur and counts in how many documents each occurs. An n-gram seeds an item where
-it is rare: in documents besides those that hold most of the item it occurs no more
-often than a share of all documents allows, so a widely copied item keeps its seeds.
-Seed positions of a document and an item that lie near one another make one window,
+they occur and counts in how many documents each occurs. An n-gram seeds its item where
+it is rare, that is in no more than a share of all documents. An item is thought of as a
+few stretches, and a stretch without a rare n-gram, as of an item that is copied widely,
+is seeded by its rarest one, so common n-grams seed no more than that. Seed positions of a document and an item that lie near one another make one window,
 which is aligned with the whole item word by word by Smith-Waterman; edits, insertions
 and deletions cost score, and the score over the item's perfect score decides.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ctxweave.llm import grams
 from ctxweave.runtime import prepare
 
-N, SHARE, LEAST, MATCH, MISMATCH, GAP, THRESHOLD = 3, 0.001, 2, 2, -1, -1, 0.5
+N, SHARE, LEAST, MATCH, MISMATCH, GAP, THRESHOLD, STRETCHES, PART = 3, 0.001, 2, 2, -1, -1, 0.5, 16, 8_000_000
 RESULT = "doc_id long, item_id long, score double, start_word long, end_word long"
 
 
@@ -65,10 +65,22 @@ class Items:
     """Test items as arrays: words, n-grams, and which item has an n-gram where."""
 
     def __init__(self, ids: list[int], texts: list[str], n: int = N):
-        self.n = n
         w = grams.words(pa.array(texts, pa.large_string()))
+        self._build(np.array(ids, np.int64), w, n)
+
+    def __getstate__(self) -> tuple:
+        """Hashes of the words alone; a task makes the rest anew."""
+        return self.ids, np.concatenate([*self.words, np.zeros(0, np.uint64)]), self.sizes, self.n
+
+    def __setstate__(self, state: tuple) -> None:
+        ids, hashes, sizes, n = state
+        none = np.zeros(0, np.int64)
+        self._build(ids, grams.Words(hashes, none, none, np.concatenate(([0], np.cumsum(sizes))), none, none), n)
+
+    def _build(self, ids: np.ndarray, w: grams.Words, n: int) -> None:
+        self.n = n
         self.words = [w.hashes[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
-        self.ids = np.array(ids, np.int64)
+        self.ids = ids
         g, rows = grams.ngrams(w, n)
         at = np.arange(len(g)) - np.searchsorted(rows, rows) if len(g) else np.zeros(0, np.int64)
         order = np.argsort(g, kind="stable")
@@ -90,11 +102,12 @@ class Items:
 
 
 def _document_counts(items: Items):
-    """Of one task: in how many documents each gram of an item occurs."""
+    """Of one task: in how many documents each gram of an item occurs, and under -1 how many documents there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(items.distinct), np.int64)
+        counts, total = np.zeros(len(items.distinct), np.int64), 0
         for b in batches:
+            total += b.num_rows
             for _, text in grams.pieces(b.column(0)):
                 g, rows = grams.ngrams(grams.words(text), items.n)
                 p, k = items.find(g)
@@ -102,7 +115,7 @@ def _document_counts(items: Items):
                 counts += np.bincount(pairs % max(1, len(counts)), minlength=len(counts))
         some = np.flatnonzero(counts)
         grams.release()
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(counts[some], total))], names=["gram", "n"])
 
     return run
 
@@ -197,8 +210,8 @@ def _clean(items: Items, rare: np.ndarray, at: int, *how):
     return run
 
 
-def read_items(benchmark: DataFrame, n: int = N, most: int = 64_000_000) -> Iterator[Items]:
-    """The test items, in as many parts as keep the texts of each near `most` bytes."""
+def read_items(benchmark: DataFrame, n: int = N, most: int = PART) -> Iterator[Items]:
+    """The test items, in as many parts as keep the texts of each near `most` bytes, which take about eight times that in a task."""
     b = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null and t is not null").distinct()
     parts = 1 + (b.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // most
     for part in range(parts):
@@ -206,61 +219,69 @@ def read_items(benchmark: DataFrame, n: int = N, most: int = 64_000_000) -> Iter
         yield Items(got.column("i").to_pylist(), got.column("t").to_pylist(), n)
 
 
-def seeded(docs: DataFrame, benchmark: DataFrame, n: int, share: float, text: str = "text") -> Iterator[tuple[Items, np.ndarray]]:
+def seeded(docs: DataFrame, benchmark: DataFrame, n: int, share: float, text: str = "text", most: int = PART) -> Iterator[tuple[Items, np.ndarray]]:
     """Each part of the items with its rare grams, by one count over all documents."""
     texts = docs.select(F.col(text).cast("string").alias("t")).where("t is not null")
-    total = None
-    for items in read_items(benchmark, n):
+    for items in read_items(benchmark, n, most):
         if not len(items.distinct):
             continue
-        total = texts.count() if total is None else total
         counts = texts.mapInArrow(_document_counts(items), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-        df = np.zeros(len(items.distinct), np.int64)
-        df[counts.column("gram").to_numpy()] = counts.column("n").to_numpy()
-        yield items, rare_seeds(items, df, total, share)
+        df = np.zeros(len(items.distinct) + 1, np.int64)
+        df[counts.column("gram").to_numpy()] = counts.column("n").to_numpy()  # the last is that of -1
+        yield items, rare_seeds(items, df[:-1], int(df[-1]), share)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = N, share: float = SHARE, least: int = LEAST, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = N, share: float = SHARE, least: int = LEAST, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP, most: int = PART) -> DataFrame:
     """Where documents hold test items, whole, edited or in good part: RESULT, best alignment of each window.
 
     Words are split at ASCII white space after lower-casing; spans count words. Rows
     with a null id or text, empty and blank texts, and items without words give
-    nothing. An item of fewer than n words is one gram. A repeated row of documents
-    gives a repeated result; a repeated item gives one. Other columns are not read.
-    Empty tables give an empty result.
+    nothing. An item of fewer than n words is one gram, which a document has only if it
+    is those words and no more: one or two words that stand in other prose are no sign
+    of a test item. A repeated row of documents gives a repeated result; a repeated item
+    gives one. Other columns are not read. Empty tables give an empty result.
 
     Documents are read twice, once to count and once to align, and never shuffled. The
-    items go to every task; where they are too many for that, they go in parts.
+    items go to every task; where their texts pass `most` bytes they go in parts, each
+    with its own two passes and tasks.
     """
     spark = prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null and t is not null")
-    parts = [texts.mapInArrow(_align(items, rare, least, threshold, match, mismatch, gap), RESULT) for items, rare in seeded(texts, benchmark, n, share, "t")]
+    parts = [texts.mapInArrow(_align(items, rare, least, threshold, match, mismatch, gap), RESULT) for items, rare in seeded(texts, benchmark, n, share, "t", most)]
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], RESULT)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = N, share: float = SHARE, least: int = LEAST, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP, text: str = "text") -> DataFrame:
-    """The rows that hold no test item, with all their columns; rows of null text stay."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = N, share: float = SHARE, least: int = LEAST, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP, text: str = "text", most: int = PART) -> DataFrame:
+    """The rows that hold no test item, with all their columns, whatever their names.
+
+    Rows of null, empty and blank texts stay, and so do those of a null id without an
+    item; repeated rows stay or go together. An empty table of documents gives an empty
+    result, one of items gives all rows. What a part of the items (`most`) leaves is
+    written before the next part, so no task holds more than one.
+    """
     prepare(docs.sparkSession)
-    at, out = docs.columns.index(text), docs
-    for items, rare in seeded(docs, benchmark, n, share, text):
-        out = out.mapInArrow(_clean(items, rare, at, least, threshold, match, mismatch, gap), docs.schema)
-    return out
+    at, out = docs.columns.index(text), None
+    for items, rare in seeded(docs, benchmark, n, share, text, most):
+        left = docs if out is None else out.checkpoint()
+        out = left.mapInArrow(_clean(items, rare, at, least, threshold, match, mismatch, gap), docs.schema)
+    return docs if out is None else out
 
 
-def rare_seeds(items: Items, df: np.ndarray, total: int, share: float) -> np.ndarray:
+def rare_seeds(items: Items, df: np.ndarray, total: int, share: float, stretches: int = STRETCHES) -> np.ndarray:
     """Which distinct grams seed.
 
-    A gram is rare if its document count is at most `share` of all documents, or at
-    most twice the median count of the grams of an item that has it: in an item copied
-    often all grams are that frequent, and only what stands out from them is common
-    wording.
+    A gram is rare if its document count is at most `share` of all documents. Every one
+    of the `stretches` equal parts of an item that has no rare gram is seeded by its
+    rarest: in an item copied often all grams are frequent, and only a few of them seed.
     """
-    rare = df <= max(2.0, share * total)
+    limit = max(2.0, share * total)
+    rare = df <= limit
+    if not len(items.grams):
+        return rare
     of = np.searchsorted(items.distinct, items.grams)
-    by = np.argsort(items.rows, kind="stable")
-    cuts = np.searchsorted(items.rows[by], np.arange(len(items.ids) + 1))
-    for x, y in zip(cuts[:-1], cuts[1:]):
-        g = of[by[x:y]]
-        if len(g):
-            rare[g[df[g] <= 2 * np.median(df[g])]] = True
+    many = np.bincount(items.rows, minlength=len(items.ids))[items.rows]
+    part = items.rows * stretches + items.at * np.minimum(stretches, many) // many
+    order = np.lexsort((items.at, df[of], part))
+    first = np.concatenate(([True], np.diff(part[order]) != 0))
+    rare[of[order[first]]] = True
     return rare
