@@ -1,8 +1,10 @@
 """N-gram Jaccard self-join with set-relation skipping.
 
 A document is the set of its word n-grams; the join gives every pair of documents
-whose sets have at least the given Jaccard similarity. The join is exact (sets and
-n-grams are 64-bit hashes).
+whose sets have at least the given Jaccard similarity. The join is exact but for chance
+matches of hashes: sets are 64 bits; an n-gram is its range and 32 bits, some 38 with
+100 ranges, so one pair in some millions may have its overlap off by one; and a gram
+that two different sets alone share is lost where their low 32 bits are alike.
 
 1. Each map task sends its distinct sets' n-grams to hash ranges, 4 bytes a gram. The
    range's owner counts in how many distinct sets each gram occurs and returns only
@@ -10,15 +12,18 @@ n-grams are 64-bit hashes).
 2. Sets order their grams from rare to frequent. Two similar sets share a gram of
    their prefixes, and the prefix of a set unlike all others holds unshared grams
    only, so it posts nothing. Prefix postings go to the gram's range: the index lists.
-3. Every set has a few lead grams, those of its prefix with the least hashes. An index
-   list is blocked by its sets' first lead. A block whose first lead is another list's
-   gram skips all of its inner pairs at once, because that other list has them; so do
-   single pairs that share another lead of a lesser hash than the list's gram. A pair
-   is thus met in about one list, however many grams it shares. Size and position
-   bounds discard more pairs.
-4. Candidates meet in groups around a pivot, the least set each is paired with. Every
-   other set is kept as its difference from the pivot, and overlaps of two sets derive
-   from the pivot's by these differences only.
+3. An index list is blocked by its sets' first lead, their size and the gram's position
+   in them. Two blocks whose sizes and positions leave too little room for an overlap
+   skip all of their pairs at once. A set's leads are the grams of its prefix with the
+   least hashes: a block whose first lead is another list's gram skips its inner pairs,
+   as that list has them, and so do single pairs that share another lead of a lesser
+   hash than the list's gram. So a pair is met in about one list, however many grams
+   it shares. Lists of over `LONG` sets are dealt out as pairs of parts.
+4. Candidates meet in groups around a pivot: of the sets of lesser hash that share half
+   of a set's leads, so are likely very similar, the least; for want of such a set the
+   least it is paired with. The pivot's overlaps with all its group are computed, and
+   those of two other sets are derived from these: bounds on them drop pairs unseen,
+   and only the differences from the pivot are looked at.
 
 Identical sets are one set throughout and are expanded at the end.
 """
@@ -41,7 +46,7 @@ _S1 = "r int, m long, kind int, a binary, b binary, c binary, d binary"
 _S2 = "m long, kind int, a binary, b binary, c binary, d binary"
 _S3 = "r int, kind int, set long, n int, a binary, b binary, c binary, d binary, e binary, f binary"
 _FLUSH = 3_000_000
-GROUP = 4000
+GROUP, LONG = 4000, 4096
 
 
 def _rows(columns: list[list], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -230,86 +235,232 @@ def _prefixes(threshold: float):
     return run
 
 
-def _candidates(threshold: float, chunk: int = 4_000_000):
-    """Of one range's index lists: pairs of sets that may be similar."""
+_POSTING = (("token", np.uint64, 1), ("set", np.uint64, 1), ("n", np.uint32, 1), ("pos", np.uint32, 1), ("rank", np.uint32, 1), ("lead", np.uint32, _LEAD))
+
+
+def _packed(p: dict[str, np.ndarray], at: np.ndarray) -> bytes:
+    return b"".join(p[c][at].astype(kind).tobytes() for c, kind, _ in _POSTING)
+
+
+def _unpacked(blob: bytes) -> dict[str, np.ndarray]:
+    m, out, at = len(blob) // sum(np.dtype(kind).itemsize * wide for _, kind, wide in _POSTING), {}, 0
+    for c, kind, wide in _POSTING:
+        x = np.frombuffer(blob, kind, m * wide, at)
+        at += x.nbytes
+        out[c] = x.reshape(-1, wide) if wide > 1 else x if kind is np.uint64 else x.astype(np.int64)
+    return out
+
+
+def expand(p: dict[str, np.ndarray], side: np.ndarray, threshold: float, chunk: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, leads that they share) of the pairs of the index lists that may be similar; a pair needs the two sides, where there are two.
+
+    A list of many sets a first lead is blocked by first lead, size and position, any
+    other by size and position. All pairs of two blocks are skipped at once where sizes
+    and positions rule them out; without the leads the blocks that a block may pair with
+    follow it, up to a size that its own size and position tell.
+    """
+    token, n, pos, lead = p["token"], p["n"], p["pos"], p["lead"]
+    _, of = np.unique(token, return_inverse=True)
+    leads = np.bincount(np.unique(np.stack([of, lead[:, 0].astype(np.int64)]), axis=1)[0], minlength=1) if len(token) else np.zeros(1, np.int64)
+    first = np.where((4 * leads <= np.bincount(of, minlength=1))[of] if len(token) else np.zeros(0, bool), lead[:, 0].astype(np.int64), -1)
+    order = np.lexsort((p["set"], side, pos, n, first, token))
+    first, of = first[order], of[order]
+    token, sets, n, pos, rank, lead, side = token[order], p["set"][order], n[order], pos[order], p["rank"][order], lead[order], side[order]
+    two, size, none = bool(len(side)) and side.min() != side.max(), len(token), np.zeros(0, np.int64)
+    new = lambda *cols: np.flatnonzero(np.concatenate(([True], np.any([x[1:] != x[:-1] for x in cols], axis=0))))
+    if size < 2:
+        return none, none, none
+    head = new(token, first, n, pos, side)
+    many = np.diff(np.append(head, size))
+    t, l0, bn, bp, bs = token[head], first[head], n[head], pos[head], side[head]
+    top, count = np.maximum.reduceat(rank, head), len(head)
+    end = lambda *cols: np.repeat(np.append(new(*cols)[1:], count), np.diff(np.append(new(*cols), count)))
+    list_end, lead_end = end(t), end(t, l0)
+    short = grams.mix(t).astype(np.uint32)
+    at = np.arange(count)
+    begin = np.where((l0 == short) | (l0 < 0), at, lead_end)  # a lead's pairs are met in the list of the lead itself
+    plain = np.flatnonzero(l0 < 0)
+    far = np.minimum(bn[plain] / threshold, (bn[plain] - bp[plain] + top[plain]) * (1 + threshold) / threshold - bn[plain])
+    by = of[head[plain]] * float(1 << 33)
+    list_end[plain] = np.append(-1, plain)[np.searchsorted(by + bn[plain], by + np.maximum(np.floor(far + 1e-6), -1.0), "right")] + 1
+
+    def may(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, places: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        nx, ny = sizes[x], sizes[y]
+        need = np.ceil(threshold / (1 + threshold) * (nx + ny) - 1e-9)
+        return (np.minimum(nx, ny) >= threshold * np.maximum(nx, ny) - 1e-9) & (np.minimum(nx - places[x], ny - places[y]) + np.minimum(ranks[x], ranks[y]) >= need)
+
+    names, local = np.unique(sets, return_inverse=True)
+    found, fresh, held = np.zeros(0, np.uint64), [], 0
+    span = np.maximum(list_end - begin, 0)
+    total, done = np.cumsum(span), 0
+    while done < count:
+        stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + chunk, "right")))
+        k = span[done:stop]
+        f = np.repeat(at[done:stop], k)
+        g = np.arange(len(f)) - np.repeat(np.cumsum(k) - k, k) + begin[f]
+        done = stop
+        ok = ((f != g) | (many[f] > 1)) & may(f, g, bn, bp, top)  # blocks
+        if two:
+            ok &= bs[f] != bs[g]
+        f, g = f[ok], g[ok]
+        pairs, last = np.cumsum(many[f] * many[g]), 0
+        while last < len(f):
+            to = max(last + 1, int(np.searchsorted(pairs, (pairs[last - 1] if last else 0) + chunk, "right")))
+            ff, gg = f[last:to], g[last:to]
+            last = to
+            m = many[ff] * many[gg]
+            q = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            wide = np.repeat(many[gg], m)
+            i, j = np.repeat(head[ff], m) + q // wide, np.repeat(head[gg], m) + q % wide
+            ok = ((np.repeat(ff != gg, m)) | (i < j)) & may(i, j, n, pos, rank)
+            i, j, own = i[ok], j[ok], np.repeat(short[ff], m)[ok]
+            ok, like = sets[i] != sets[j], np.zeros(len(i), np.uint64)
+            for x in range(_LEAD):
+                for y in range(_LEAD):
+                    same = lead[i, x] == lead[j, y]
+                    ok &= ~(same & (lead[i, x] < own))
+                    like += same & (lead[i, x] != 0xFFFFFFFF)
+            x, y = local[i[ok]].astype(np.uint64), local[j[ok]].astype(np.uint64)
+            new_pairs = (np.minimum(x, y) << np.uint64(34)) | (np.maximum(x, y) << np.uint64(4)) | np.minimum(like[ok], np.uint64(15))
+            fresh.append(new_pairs)
+            held += len(new_pairs)
+            if held > max(chunk, len(found)):
+                found, fresh, held = np.unique(np.concatenate((found, *fresh))), [], 0
+    found = np.unique(np.concatenate((found, *fresh)))
+    x, y = names[(found >> np.uint64(34)).astype(np.int64)].astype(np.int64), names[((found >> np.uint64(4)) & np.uint64(0x3FFFFFFF)).astype(np.int64)].astype(np.int64)
+    return np.minimum(x, y), np.maximum(x, y), (found & np.uint64(15)).astype(np.int64)
+
+
+_CANDIDATES = "kind int, key long, a binary, b binary, c binary"
+
+
+def _pairs_row(a: np.ndarray, b: np.ndarray, like: np.ndarray) -> tuple:
+    return 0, 0, a.tobytes(), b.tobytes(), like.astype(np.uint8).tobytes()
+
+
+def _lists(threshold: float, long: int):
+    """Of one range's index lists: pairs of sets that may be similar (kind 0), and long lists as pairs of their parts (kind 1)."""
 
     def run(table: pa.Table) -> pa.Table:
         get = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()])
-        token, rank = get("a", np.uint32), get("b", np.uint32).astype(np.int64)
         count = np.concatenate([_owners(x)[1].astype(np.int64) for x in table.column("c").to_pylist()])
         of = np.repeat(np.arange(len(count)), count)
-        sets, n_shared, lead = get("d", np.uint64)[of], get("e", np.uint32).reshape(-1, 2)[of].astype(np.int64), get("f", np.uint32).reshape(-1, _LEAD)[of]
-        n, pos = n_shared[:, 0], n_shared[:, 0] - n_shared[:, 1] + rank
-        token = token.astype(np.uint64) | np.uint64(table.column("r")[0].as_py() << 32)
-        order = np.lexsort((sets, n, lead[:, 0], token))
-        order = order[np.concatenate(([True], (np.diff(token[order]) != 0) | (np.diff(sets[order]) != 0)))]
-        token, sets, n, pos, rank, lead = token[order], sets[order], n[order], pos[order], rank[order], lead[order]
-        size = len(token)
-        at = np.arange(size)
-        fresh = np.ones(size, bool)
-        fresh[1:] = token[1:] != token[:-1]
-        block = fresh.copy()
-        block[1:] |= lead[1:, 0] != lead[:-1, 0]
-        ends = lambda flags: np.append(np.flatnonzero(flags)[1:], size)[np.cumsum(flags) - 1]
-        list_end, block_end = ends(fresh), ends(block)
-        short = grams.mix(token).astype(np.uint32)
-        begin = np.where(lead[:, 0] == short, at + 1, block_end)
-        many = np.maximum(list_end - begin, 0)
-        names, local = np.unique(sets, return_inverse=True)
-        found = np.zeros(0, np.uint64)
-        done, total = 0, np.cumsum(many)
-        while done < size:
-            stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + chunk, "right")))
-            k = many[done:stop]
-            i = np.repeat(at[done:stop], k)
-            j = np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k) + begin[i]
-            done = stop
-            if not len(i):
-                continue
-            ok = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
-            i, j = i[ok], j[ok]
-            rest = np.minimum(n[i] - pos[i], n[j] - pos[j])
-            need = np.ceil(threshold / (1 + threshold) * (n[i] + n[j]) - 1e-9)
-            ok = rest + np.minimum(rank[i], rank[j]) >= need
-            i, j = i[ok], j[ok]
-            ok = np.ones(len(i), bool)
-            for k in range(_LEAD):
-                for other in range(_LEAD):
-                    ok &= ~((lead[i, k] == lead[j, other]) & (lead[i, k] < short[i]))
-            i, j = local[i[ok]].astype(np.uint64), local[j[ok]].astype(np.uint64)
-            found = np.unique(np.concatenate((found, (np.minimum(i, j) << np.uint64(32)) | np.maximum(i, j))))
-        a, b = names[(found >> np.uint64(32)).astype(np.int64)].astype(np.int64), names[(found & np.uint64(0xFFFFFFFF)).astype(np.int64)].astype(np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        n_shared, rank = get("e", np.uint32).reshape(-1, 2)[of].astype(np.int64), get("b", np.uint32).astype(np.int64)
+        token = get("a", np.uint32).astype(np.uint64) | np.uint64(table.column("r")[0].as_py() << 32)
+        p = {"token": token, "set": get("d", np.uint64)[of], "n": n_shared[:, 0], "pos": n_shared[:, 0] - n_shared[:, 1] + rank, "rank": rank, "lead": get("f", np.uint32).reshape(-1, _LEAD)[of]}
+        order = np.lexsort((p["set"], token))
+        order = order[np.concatenate(([True], (np.diff(token[order]) != 0) | (np.diff(p["set"][order]) != 0)))]
+        p = {c: x[order] for c, x in p.items()}
+        head = np.flatnonzero(np.concatenate(([True], np.diff(p["token"]) != 0)))
+        many = np.diff(np.append(head, len(order)))
+        rows = []
+        for k in np.flatnonzero(many > long):
+            parts = np.array_split(np.arange(head[k], head[k] + many[k]), -(-int(many[k]) // long))
+            for x in range(len(parts)):
+                for y in range(x, len(parts)):
+                    key = grams.mix(p["token"][head[k] : head[k] + 1] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(x * len(parts) + y))
+                    rows.append((1, int(key.view(np.int64)[0]), _packed(p, parts[x]), _packed(p, parts[y]) if x != y else None, None))
+        rest = np.flatnonzero(np.repeat(many <= long, many))
+        rows.append(_pairs_row(*expand({c: x[rest] for c, x in p.items()}, np.zeros(len(rest), np.int8), threshold)))
+        grams.release()
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), _B, _B, _B))], names=["kind", "key", "a", "b", "c"])
 
     return run
 
 
+def _parts(threshold: float):
+    """Of one pair of parts of a long list: pairs of sets that may be similar."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = []
+        for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist()):
+            p = _unpacked(a)
+            side = np.zeros(len(p["set"]), np.int8)
+            if b is not None:
+                q = _unpacked(b)
+                side = np.repeat(np.array([0, 1], np.int8), (len(p["set"]), len(q["set"])))
+                p = {c: np.concatenate((p[c], q[c])) for c in p}
+            rows.append(_pairs_row(*expand(p, side, threshold)))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), _B, _B, _B))], names=["kind", "key", "a", "b", "c"])
+
+    return run
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, like in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.int64)), pa.array(np.frombuffer(like, np.uint8).astype(np.int32))], names=["a", "b", "like"])
+
+
+def _in_common(owner: np.ndarray, column: np.ndarray, rows: int, columns: int, a: np.ndarray, b: np.ndarray, bits: int = 1 << 25) -> np.ndarray:
+    """How many columns the rows a and b share, by bit rows over some columns at a time."""
+    out = np.zeros(len(a), np.int64)
+    wide = max(64, min(-(-columns // 64) * 64, bits // max(rows, 1) // 64 * 64))
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for x in range(0, columns, wide):
+        lo, hi = np.searchsorted(column, (x, x + wide))
+        if lo == hi:
+            continue
+        marks = np.zeros((rows, wide), bool)
+        marks[owner[lo:hi], column[lo:hi] - x] = True
+        packed = np.packbits(marks, axis=1).view(np.uint64)
+        step = max(1, bits // wide)
+        for k in range(0, len(a), step):
+            out[k : k + step] += np.bitwise_count(packed[a[k : k + step]] & packed[b[k : k + step]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def derive(tokens: np.ndarray, owner: np.ndarray, n: np.ndarray, pivot: int, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the pairs a, b are similar, their overlaps), from the pivot's answers.
+
+    The pivot's overlap with every set is computed once. Two sets share what both share
+    with the pivot, which is at least the sum of their overlaps with it less its size
+    and at most the lesser of them, and what both have beyond it. The bounds drop pairs
+    unseen; of the others only the differences from the pivot are looked at.
+    """
+    own = np.sort(tokens[owner == pivot])
+    at = np.minimum(np.searchsorted(own, tokens), max(len(own) - 1, 0))
+    inside = own[at] == tokens if len(own) else np.zeros(len(tokens), bool)
+    answer = np.bincount(owner[inside], minlength=len(n))
+    _, extra, times = np.unique(tokens[~inside], return_inverse=True, return_counts=True)
+    shared = times[extra] > 1
+    beyond, more = owner[~inside][shared], (np.cumsum(times > 1) - 1)[extra[shared]]
+    room = np.bincount(beyond, minlength=len(n))
+    need = np.ceil(threshold / (1 + threshold) * (n[a] + n[b]) - 1e-9)
+    some = np.flatnonzero(np.minimum(answer[a], answer[b]) + np.minimum(room[a], room[b]) >= need)
+    x, y = a[some], b[some]
+    missing = np.ones((len(n), len(own)), bool)
+    missing[owner[inside], at[inside]] = False
+    lacks, which = np.nonzero(missing[np.unique(np.concatenate((x, y)))]) if len(own) and len(some) else (np.zeros(0, np.int64),) * 2
+    lacks = np.unique(np.concatenate((x, y)))[lacks] if len(lacks) else lacks
+    overlap = answer[x] + answer[y] - len(own) + _in_common(lacks, which, len(n), len(own), x, y) + _in_common(beyond, more, len(n), int((times > 1).sum()), x, y)
+    good = overlap >= threshold * (n[x] + n[y] - overlap) - 1e-9
+    return some[good], overlap[good]
+
+
 def _verify(threshold: float):
     """Of one pivot's group: exact overlaps of the candidate pairs."""
 
     def run(members: pa.Table, pairs: pa.Table) -> pa.Table:
-        cols = (members.column(c).to_pylist() for c in ("set", "a", "b", "n"))
-        content = {s: (np.frombuffer(low, np.uint32).astype(np.uint64) | (np.frombuffer(high, np.uint32).astype(np.uint64) << np.uint64(32)), n) for s, low, high, n in zip(*cols)}
-        out_a, out_b, out_o, out_j = [], [], [], []
-        if content and pairs.num_rows:
-            pivot = content[min(content)][0]
-            less, more = {}, {}
-            for s, (t, _) in content.items():
-                less[s] = frozenset(np.setdiff1d(pivot, t, assume_unique=True).tolist())
-                more[s] = frozenset(np.setdiff1d(t, pivot, assume_unique=True).tolist())
-            base = len(pivot)
-            for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
-                if a not in content or b not in content:
-                    continue
-                la, lb = less[a], less[b]
-                overlap = base - len(la) - len(lb) + len(la & lb) + len(more[a] & more[b])
-                similarity = overlap / (content[a][1] + content[b][1] - overlap)
-                if similarity >= threshold:
-                    out_a.append(a)
-                    out_b.append(b)
-                    out_o.append(overlap)
-                    out_j.append(similarity)
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "overlap": pa.array(out_o, pa.int64()), "jaccard": pa.array(out_j, pa.float64())})
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "overlap": pa.array([], pa.int64()), "jaccard": pa.array([], pa.float64())})
+        if not members.num_rows or not pairs.num_rows:
+            return none
+        names = members.column("set").to_numpy()
+        order = np.argsort(names)
+        low, high = members.column("a").to_pylist(), members.column("b").to_pylist()
+        sizes = np.array([len(low[k]) // 4 for k in order])
+        join = lambda parts: np.frombuffer(b"".join([parts[k] for k in order]), np.uint32).astype(np.uint64)
+        tokens, owner = join(low) | (join(high) << np.uint64(32)), np.repeat(np.arange(len(order)), sizes)
+        names, n = names[order], members.column("n").to_numpy()[order].astype(np.int64)
+        a, b = (pairs.column(c).to_numpy() for c in ("a", "b"))
+        x, y = (np.minimum(np.searchsorted(names, c), len(names) - 1) for c in (a, b))
+        ok = np.flatnonzero((names[x] == a) & (names[y] == b))
+        pivot = int(np.searchsorted(names, pairs.column("pivot")[0].as_py()))
+        which, overlap = derive(tokens, owner, n, min(pivot, len(names) - 1), x[ok], y[ok], threshold)
+        a, b, union = a[ok[which]], b[ok[which]], n[x[ok[which]]] + n[y[ok[which]]] - overlap
+        grams.release()
+        return pa.table({"a": pa.array(a), "b": pa.array(b), "overlap": pa.array(overlap.astype(np.int64)), "jaccard": pa.array(overlap / np.maximum(union, 1))})
 
     return run
 
@@ -320,11 +471,12 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)), pa.array(np.frombuffer(sets, np.int64))], names=["doc_id", "set"])
 
 
-def set_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, doc_id: str = "doc_id", text: str = "text", group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+def set_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, doc_id: str = "doc_id", text: str = "text", group: int = GROUP, long: int = LONG) -> tuple[DataFrame, DataFrame]:
     """(pairs of similar sets: a < b, overlap, jaccard; members: doc_id, set).
 
     A pivot with more than `group` sets has its pairs split into blocks of about that
-    many sets on either side, so that no task holds a whole large group.
+    many sets on either side, so that no task holds a whole large group; an index list
+    of more than `long` sets is split alike.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
@@ -333,16 +485,20 @@ def set_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, doc_id: str =
     s1 = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).mapInArrow(_sets(n, ranges), _S1)
     s2 = s1.groupBy("r").applyInArrow(_frequencies, _S2)
     s3 = s2.groupBy("m").applyInArrow(_prefixes(threshold), _S3).checkpoint()
-    candidates = s3.where("kind = 0").select("r", "a", "b", "c", "d", "e", "f").groupBy("r").applyInArrow(_candidates(threshold), "a long, b long").distinct().checkpoint()
-    pivot = candidates.union(candidates.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p"))
+    lists = s3.where("kind = 0").select("r", "a", "b", "c", "d", "e", "f").groupBy("r").applyInArrow(_lists(threshold, long), _CANDIDATES).checkpoint()
+    parts = lists.where("kind = 1").groupBy("key").applyInArrow(_parts(threshold), _CANDIDATES)
+    candidates = lists.where("kind = 0").union(parts).select("a", "b", "c").mapInArrow(_pairs, "a long, b long, like int").groupBy("a", "b").agg(F.max("like").alias("like")).checkpoint()
+    both = candidates.union(candidates.select(F.col("b").alias("a"), F.col("a").alias("b"), "like"))
+    near = F.min(F.when((F.col("b") < F.col("a")) & (F.col("like") >= _LEAD // 2), F.col("b")))
+    pivot = both.groupBy("a").agg(F.coalesce(near, F.least("a", F.min("b"))).alias("p"))
     blocks = pivot.groupBy("p").agg(F.ceil(F.count("*") / group).alias("blocks"))
     block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
-    keyed = candidates.join(pivot.join(blocks, "p"), "a").select(F.when(F.col("blocks") == 1, F.col("p")).otherwise(F.xxhash64("p", block("a"), block("b"))).alias("p"), "a", "b")
-    needed = keyed.select("p", F.col("a").alias("set")).union(keyed.select("p", F.col("b").alias("set"))).distinct()
+    keyed = candidates.join(pivot.join(blocks, "p"), "a").select(F.when(F.col("blocks") == 1, F.col("p")).otherwise(F.xxhash64("p", block("a"), block("b"))).alias("k"), F.col("p").alias("pivot"), "a", "b")
+    needed = keyed.select("k", F.explode(F.array("pivot", "a", "b")).alias("set")).distinct()
     contents = s3.where("kind = 1").select("set", "n", "a", "b").dropDuplicates(["set"])
-    grouped = needed.join(contents, "set").select("p", "set", "n", "a", "b")
-    again = keyed.select(F.col("p").alias("q"), F.col("a").alias("a"), F.col("b").alias("b"))
-    pairs = grouped.select(F.col("p").alias("k"), "set", "n", "a", "b").groupBy("k").cogroup(again.groupBy("q")).applyInArrow(_verify(threshold), "a long, b long, overlap long, jaccard double").checkpoint()
+    grouped = needed.join(contents, "set").select("k", "set", "n", "a", "b")
+    again = keyed.select(F.col("k").alias("q"), "pivot", "a", "b")
+    pairs = grouped.groupBy("k").cogroup(again.groupBy("q")).applyInArrow(_verify(threshold), "a long, b long, overlap long, jaccard double").checkpoint()
     members = s3.where("kind = 2").select("a", "b").mapInArrow(_members, "doc_id long, set long").distinct()
     return pairs, members
 
@@ -366,7 +522,9 @@ def jaccard_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, doc_id: s
 def duplicates(docs: DataFrame, threshold: float = 0.5, n: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, keep): documents whose group has one of a lower id, and the lowest id of the group.
 
-    Groups are the connected components of jaccard_pairs.
+    Groups are the connected components of jaccard_pairs, so null, empty and blank texts
+    are in none, and rows of null ids neither. Rows of one id count as one document. An
+    empty table gives an empty result.
     """
     pairs, members = set_pairs(docs, threshold, n, doc_id, text)
     component = graph.components(pairs)
@@ -378,7 +536,8 @@ def duplicates(docs: DataFrame, threshold: float = 0.5, n: int = 3, doc_id: str
 def drop_duplicates(docs: DataFrame, threshold: float = 0.5, n: int = 3, doc_id: str = "doc_id", text: str = "text", most: int = 1_000_000) -> DataFrame:
     """The rows of docs but those that duplicates() names, with all their columns.
 
-    Rows with a null id stay. Up to `most` ids to drop, 8 bytes each, are sent to every
+    Rows with a null id stay, and so do null, empty and blank texts; repeated rows stay
+    or go together. An empty table gives an empty result. Up to `most` ids to drop, 8 bytes each, are sent to every
     task; more are joined by a shuffle.
     """
     gone = duplicates(docs, threshold, n, doc_id, text).select(F.col("doc_id").alias("__gone")).checkpoint()
