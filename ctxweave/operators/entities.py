@@ -40,7 +40,7 @@ def extract(chunks: DataFrame, key: str = "hash", text: str = "text", extractor:
                 rows += [(k, a, None, kind, c) for a, kind, c in related]
             yield pd.DataFrame(rows, columns=["k", "name", "kind", "relation", "other"])
 
-    found = chunks.select(key, text).mapInPandas(run, "k string, name string, kind string, relation string, other string")
+    found = chunks.select(F.col(key).cast("string").alias(key), text).mapInPandas(run, "k string, name string, kind string, relation string, other string")
     e = found.where("kind is not null").select(F.md5(F.concat_ws("\u0000", F.lit(workspace), "name", "kind")).alias("entity_id"), "name", F.col("kind").alias("type"), F.col("k").alias("file_path"), F.lit(workspace).alias("workspace")).distinct()
     r = found.where("relation is not null").select(F.col("name").alias("src"), F.col("relation").alias("type"), F.col("other").alias("dst"), F.col("k").alias("file_path"), F.lit(workspace).alias("workspace")).distinct()
     return {"entities": e, "relations": r}

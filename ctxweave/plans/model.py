@@ -304,7 +304,7 @@ def drop_constraint(m: GraphModel, label: str, properties: list[str], kind: str
 @_edit
 def change_mapping(m: GraphModel, kind: str, source: str, columns: list[str], how: str | None = None) -> None:
     e = m.edge(kind)
-    e.source, e.columns, e.kind = source, [c.rpartition(".")[2] for c in columns], how or e.kind
+    e.source, e.columns, e.kind, e.targets, e.width = source, [c.rpartition(".")[2] for c in columns], how or e.kind, [], 1
 
 
 EDITS = {f.__name__: f for f in (change_node_label, rename_property, drop_property, add_property, change_node_key, add_node, drop_node, rename_edge, drop_edge, add_edge, add_edge_property, drop_edge_property, add_index, drop_index, add_constraint, drop_constraint, change_mapping)}
