@@ -1,4 +1,11 @@
-"""The corpus pipeline: toxic documents, near duplicates and contaminated documents go, secrets are masked, the rest is tokenised."""
+"""The corpus pipeline: toxic documents, near duplicates and contaminated documents go, secrets are masked, the rest is tokenised.
+
+All stages keep rows that they can't judge, those of a null id or of a null, empty or
+blank text; repeated rows stay or go together; columns that a document has besides stay
+as they are, whatever their names; an empty table gives an empty one. The classifier's
+labels and the benchmark are read from sf_dir; without labels nothing is toxic, without
+a benchmark nothing is contaminated.
+"""
 
 from __future__ import annotations
 
@@ -33,7 +40,7 @@ def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of all documents."""
+    """Tokens of all documents, and whether they decode to the text again: doc_id, tokens, n_tokens, round_trip."""
     prepare(spark)
     return bpe.encode(docs)
 

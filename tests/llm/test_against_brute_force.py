@@ -629,6 +629,73 @@ def test_paragraph_recall_against_brute_force(spark, data):
     assert late and hit >= 0.9 * len(late)
 
 
+def plain_repeats(texts, size=12, least=8, least_words=20, gap=2):
+    """Windows that an earlier document has and lines whose sets of 3-grams one has, word by word."""
+    import re
+
+    spans = {k: [m.span() for m in re.finditer(r"[^\t\n\v\f\r ]+", t)] for k, t in texts.items()}
+    words = {k: [texts[k][a:b] for a, b in s] for k, s in spans.items()}
+    pieces = []
+    for k, w in words.items():
+        pieces += [(k, x, x + size, tuple(w[x : x + size])) for x in range(len(w) - size + 1)]
+        x = 0
+        for line in texts[k].split("\n"):
+            n = len(re.findall(r"[^\t\n\v\f\r ]+", line))
+            if n >= least:
+                pieces.append((k, x, x + n, frozenset(tuple(w[j : j + 3]) for j in range(x, x + n - 2))))
+            x += n
+    pieces = [p for p in pieces if len(set(words[p[0]][p[1] : p[2]])) > 1]
+    first = {}
+    for k, _, _, content in pieces:
+        first[content] = min(first.get(content, k), k)
+    out = set()
+    for k in texts:
+        own, runs, reach = sorted((a, b, first[c]) for i, a, b, c in pieces if i == k and first[c] < k), [], None
+        for a, b, keep in own:
+            if reach is None or a - reach > gap:
+                runs.append([])
+                reach = 0
+            runs[-1].append((a, b, keep))
+            reach = max(reach, b)
+        for r in runs:
+            n = len({x for a, b, _ in r for x in range(a, b)})
+            if n >= least_words:
+                out.add((k, spans[k][r[0][0]][0], spans[k][max(b for _, b, _ in r) - 1][1], n, min((a, keep) for a, _, keep in r)[1]))
+    return out
+
+
+def test_exact_repeats_are_brute_force(spark, data):
+    """At a threshold of 1 both ways: every repeated window and line is in a result, and nothing else is."""
+    texts = {r["doc_id"]: r["text"] for r in table(spark, data, "documents").collect() if r["text"] is not None}
+    assert {tuple(r) for r in substring_dedup.repeats(table(spark, data, "documents").repartition(3), threshold=1.0).collect()} == plain_repeats(texts)
+    rng = random.Random(81)
+    poem = lambda: "\n".join(" ".join(rng.choice("abcdefghij") + rng.choice("klmnop") for _ in range(rng.randint(1, 7))) for _ in range(12))
+    verses = [poem() for _ in range(4)]
+    texts = {k: "\n".join(rng.choice([poem(), rng.choice(verses), "der " * 30, "x\u00a0y é\u3000z"]) for _ in range(rng.randint(1, 4))) for k in range(60)}
+    got = {tuple(r) for r in substring_dedup.repeats(spark.createDataFrame(list(texts.items()), DOCS).repartition(5), threshold=1.0).collect()}
+    assert got == plain_repeats(texts) and len(got) > 20
+    short = {tuple(r) for r in substring_dedup.repeats(spark.createDataFrame(list(texts.items()), DOCS), threshold=1.0, least_words=5, least_paragraph=3).collect()}
+    assert short == plain_repeats(texts, size=3, least=3, least_words=5)
+
+
+def test_flags_of_the_query_are_right(spark, data):
+    """At the production threshold every stretch is made of repeated windows and of lines like an earlier document's."""
+    texts = {r["doc_id"]: r["text"] for r in table(spark, data, "documents").collect()}
+    grams = lambda w: {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+    windows, lines = {}, []
+    for k, t in sorted(texts.items()):
+        w = t.split()
+        for x in range(len(w) - 11):
+            windows.setdefault(tuple(w[x : x + 12]), k)
+        lines += [(k, grams(x.split())) for x in t.split("\n") if len(x.split()) >= 8]
+    for r in queries.QUERIES["op8_substring_dedup"](spark, data).collect():
+        k, piece = r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]]
+        w = piece.split()
+        inside = any(windows.get(tuple(w[x : x + 12]), k) < k for x in range(len(w) - 11))
+        alike = any(i < k and len(g & own) >= 0.35 * len(g | own) for x in piece.split("\n") if len(x.split()) >= 8 for own in [grams(x.split())] for i, g in lines)
+        assert inside or alike, r
+
+
 def template_family(rng, vocab, families=3, size=600, words=62):
     """Lines of templates that share grams below the threshold, and in each family pairs over it: (doc_id, text), ids of the later of each pair."""
     docs, late = [], set()

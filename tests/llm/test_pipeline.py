@@ -40,6 +40,23 @@ def test_stages_take_effect(spark, data, tmp_path):
     assert {r["doc_id"]: r["tokens"] for r in corpus_pipeline.run(spark, data).collect()} == {k: r["tokens"] for k, r in tokens.items()}
 
 
+def test_stages_on_nulls_clashing_columns_and_nothing(spark, data):
+    """Rows that a stage can't judge stay, columns stay as they are, and an empty table gives an empty one."""
+    docs = table(spark, data, "documents")
+    rows = [(None, "words of a text without an id", "en", "s", 1), (-1, None, None, None, None), (-2, "", "en", "s", 0), (-3, " \n", "en", "s", 2), (None, None, None, None, None)]
+    odd = spark.createDataFrame(rows, docs.schema).union(docs.limit(40))
+    for name, v in {"i": 1, "t": "x", "a": 2, "r": 3, "set": 4, "__gone": 5, "toxic": 1}.items():
+        odd = odd.withColumn(name, F.lit(v))
+    for name, stage in corpus_pipeline.STAGES:
+        got, none = stage(spark, odd, data), stage(spark, odd.limit(0), data)
+        assert none.count() == 0 and none.columns == got.columns
+        if name == "bpe":
+            assert got.count() == odd.count()
+            continue
+        assert got.columns == odd.columns and {r["doc_id"] for r in got.collect()} >= {None, -1, -2, -3}
+        assert got.where("doc_id is null").count() == 2
+
+
 def F_(ids):
     import numpy as np
 

@@ -108,6 +108,31 @@ def test_filters_keep_rows_and_columns(spark):
     assert harmless.columns == d.columns and 3 in [r["doc_id"] for r in harmless.collect()]
 
 
+def test_labels_of_both_kinds_and_ties(spark):
+    """A document labelled both ways teaches nothing, a repeated label counts once, and a score at the threshold is in."""
+    d = spark.createDataFrame([(k, f"you {'idiot scum' if k % 2 else 'kind friend'} number {k}") for k in range(40)], "doc_id long, text string")
+    once = spark.createDataFrame([(k, 1 - k % 2, k % 2) for k in range(40)], LABELS)
+    both = once.union(once).union(spark.createDataFrame([(50, 1, 1), (50, 0, 0)], LABELS))
+    more = d.union(spark.createDataFrame([(50, "kind scum friend idiot")], d.schema))
+    a, b = toxicity.train(d, once), toxicity.train(more, both)
+    assert a.bias == b.bias and (a.weights == b.weights).all()
+    x, y = quality.train(d, once), quality.train(more, both)
+    assert (x.good, x.bad, x.slope, x.bias) == (y.good, y.bad, y.slope, y.bias)
+    s = {r["doc_id"]: r["toxicity"] for r in toxicity.score(d, a).collect()}
+    assert min(s[k] for k in range(1, 40, 2)) > max(s[k] for k in range(0, 40, 2))
+    assert {r["doc_id"] for r in toxicity.score(d, a, s[7]).where("toxic").collect()} == {k for k in s if s[k] >= s[7]}
+    same = d.union(d)
+    assert toxicity.score(same, a).groupBy("doc_id").count().where("count <> 2").count() == 0
+    assert toxicity.drop_toxic(d.limit(0), a).count() == 0
+
+
+def test_decode_keeps_rows(spark):
+    t = spark.createDataFrame([(1, [0, 1]), (1, [0, 1]), (None, []), (2, None)], "doc_id long, tokens array<int>").withColumn("text", F.lit(7))
+    got = bpe.decode(t).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got if r["text"] is not None) == [(0, ""), (1, got[0]["text"]), (1, got[0]["text"])] and len(got) == 4
+    assert bpe.decode(t.limit(0)).count() == 0
+
+
 def test_no_labels(spark):
     d = documents(spark)
     none = spark.createDataFrame([], LABELS)
