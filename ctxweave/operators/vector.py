@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -58,10 +59,11 @@ def _nearest(ids: list, queries: list, k: int, id_column: str, embedding: str, b
                 with np.errstate(invalid="ignore", divide="ignore"):
                     s = (q @ v.T) / np.outer(norm, np.linalg.norm(v, axis=1))
                 s[~np.isfinite(s)] = -np.inf
-                for r in range(len(q)):
-                    best = np.lexsort((own, -s[r]))[:k] if len(own) <= 4 * k else _top(s[r], own, k)
-                    best = best[np.isfinite(s[r][best])]
-                    yield pd.DataFrame({"query_id": ids[r], "id": own[best], "distance": s[r][best]})
+                best = [np.lexsort((own, -row))[:k] if len(own) <= 4 * k else _top(row, own, k) for row in s]
+                which, at = np.repeat(np.arange(len(q)), [len(x) for x in best]), np.concatenate(best)
+                there = np.isfinite(s[which, at])
+                which, at = which[there], at[there]
+                yield pd.DataFrame({"query_id": np.asarray(ids)[which], "id": own[at], "distance": s[which, at]})
 
     return run
 
@@ -135,26 +137,62 @@ def graph_rag(nodes: DataFrame, edges: DataFrame, query: list[float], wanted: Da
     return reached.join(pattern.degree(edges), "id").orderBy(F.desc("degree"), "id").limit(top)
 
 
-def lsh_index(vectors: DataFrame, dims: int, id_column: str = "id", embedding: str = "embedding", tables: int = 8, bits: int = 12, seed: int = 7) -> DataFrame:
-    """(bucket, id): sign bits of random projections, a bucket a table. A derived index to look candidates up in, by a join on bucket."""
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, dims))
+@dataclass
+class CellIndex:
+    """Vectors by the nearest of some centroids, and how far from its centroid a cell reaches, as an angle."""
 
-    @F.pandas_udf("array<bigint>")
-    def buckets(series: pd.Series) -> pd.Series:
-        if not len(series):
-            return pd.Series([], dtype=object)
-        v = np.stack([np.zeros(dims) if x is None else np.asarray(x, np.float64) for x in series])
-        signs = np.einsum("tbd,nd->ntb", planes, v) > 0
-        code = (signs * (1 << np.arange(bits))).sum(axis=2) + (np.arange(tables) << bits)
-        return pd.Series(list(code.astype(np.int64)))
+    centroids: np.ndarray
+    rows: DataFrame  # cell, id, embedding
+    reach: DataFrame  # cell, reach
+
+
+def _angles(centroids: np.ndarray, series: pd.Series) -> np.ndarray:
+    v = np.stack([np.asarray(x, np.float64) for x in series])
+    v = v / np.linalg.norm(v, axis=1)[:, None]
+    return np.arccos(np.clip(v @ centroids.T, -1, 1))
+
+
+def cell_index(vectors: DataFrame, cells: int = 256, id_column: str = "id", embedding: str = "embedding", seed: int = 7) -> CellIndex:
+    """An index to look neighbours up in; write its two tables out to use it more than once.
+
+    At most `cells` vectors, by a hash of their ids, are the centroids. Vectors that are
+    null or of no length are near to nothing and left out.
+    """
+    held = vectors.where(F.col(embedding).isNotNull()).where(F.aggregate(embedding, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) > 0).select(F.col(id_column).alias("id"), F.col(embedding).cast("array<double>").alias("embedding"))
+    picked = held.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(cells).toPandas()["embedding"].tolist()
+    c = np.array(picked, np.float64) if picked else np.zeros((1, 1))
+    c = c / np.maximum(np.linalg.norm(c, axis=1), 1e-300)[:, None]
 
-    return vectors.where(F.col(embedding).isNotNull()).select(F.explode(buckets(embedding)).alias("bucket"), F.col(id_column).alias("id"))
+    @F.pandas_udf("cell int, angle double")
+    def nearest(series: pd.Series) -> pd.DataFrame:
+        angle = _angles(c, series) if len(series) else np.zeros((0, len(c)))
+        return pd.DataFrame({"cell": angle.argmin(axis=1).astype(np.int32), "angle": angle.min(axis=1)})
 
+    placed = held.withColumn("x", nearest("embedding")).select(F.col("x.cell").alias("cell"), "id", "embedding", F.col("x.angle").alias("angle")).checkpoint()
+    return CellIndex(c, placed.drop("angle"), placed.groupBy("cell").agg(F.max("angle").alias("reach")))
+
+
+def knn_cells(index: CellIndex, queries: DataFrame, k: int = 5, query_id: str = "query_id", embedding: str = "embedding", probe: int = 8) -> DataFrame:
+    """(query_id, id, distance, rank), the same as knn_batch gives: an exact search that skips cells.
+
+    The `probe` nearest cells of a query come first. What they give bounds the angle of
+    the k-th neighbour, and of the other cells only those are searched that may reach
+    within it; all of them, where the first held fewer than k.
+    """
+    c = index.centroids
+
+    @F.pandas_udf("array<struct<angle:double,cell:int>>")
+    def order(series: pd.Series) -> pd.Series:
+        if not len(series):
+            return pd.Series([], dtype=object)
+        return pd.Series([[{"angle": float(r[x]), "cell": int(x)} for x in np.argsort(r, kind="stable")] for r in _angles(c, series)])
 
-def knn_lsh(vectors: DataFrame, index: DataFrame, query_vectors: DataFrame, dims: int, k: int = 5, id_column: str = "id", embedding: str = "embedding", **how: int) -> DataFrame:
-    """knn_batch among the candidates that share a bucket with the query: approximate, and a join instead of all pairs."""
-    q = lsh_index(query_vectors, dims, "query_id", embedding, **how).withColumnRenamed("id", "query_id")
-    pairs = q.join(index, "bucket").select("query_id", "id").distinct()
-    scored = pairs.join(vectors.select(F.col(id_column).alias("id"), F.col(embedding).alias("v")), "id").join(query_vectors.select("query_id", F.col(embedding).alias("q")), "query_id").select("query_id", "id", cosine("v", "q").alias("distance"))
+    asked = queries.where(F.col(embedding).isNotNull()).where(F.aggregate(embedding, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) > 0).select(F.col(query_id).alias("query_id"), F.col(embedding).cast("array<double>").alias("q"))
+    cells = asked.select("query_id", "q", F.posexplode(order("q")).alias("nth", "x")).select("query_id", "q", "nth", "x.cell", "x.angle")
+    scored = lambda some: some.join(index.rows, "cell").select("query_id", "id", cosine("embedding", "q").alias("distance"))
     w = Window.partitionBy("query_id").orderBy(F.desc("distance"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = lambda df: df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    first = best(scored(cells.where(F.col("nth") < probe))).checkpoint()
+    bound = first.where(F.col("rank") == k).select("query_id", F.acos(F.least(F.greatest("distance", F.lit(-1.0)), F.lit(1.0))).alias("within"))
+    rest = cells.where(F.col("nth") >= probe).join(index.reach, "cell").join(bound, "query_id", "left").where(F.col("angle") - F.col("reach") <= F.coalesce("within", F.lit(4.0)) + 1e-6)
+    return best(first.drop("rank").union(scored(rest.select("query_id", "q", "cell"))))

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctxweave.functions import scalars as S
-from ctxweave.operators import analytics, chunks, entities, pattern, skills, stores, text_search, write
+from ctxweave.operators import analytics, chunks, entities, pattern, skills, stores, text_search, vector, write
 from ctxweave.plans import catalogue as C
 from ctxweave.plans import ingest, schema, service
 from ctxweave.plans import model as M
-from ctxweave.queries import ENTITIES, FAILED, FOREIGN, PRIMARY, frames, messages, query, star_model, tool_calls
+from ctxweave.queries import ENTITIES, FAILED, FOREIGN, PRIMARY, SQL, frames, messages, query, star_model, tool_calls
 from ctxweave.runtime import table
 from ctxweave.streaming import events
 
@@ -420,3 +420,26 @@ def q118(spark, d):
 @query("q119_calls_by_status", f"SELECT event_type AS tool_name, CASE WHEN {FAILED} THEN 'failed' ELSE 'completed' END AS status, count(*) AS n FROM events GROUP BY 1, 2")
 def q119(spark, d):
     return tool_calls(spark, d).groupBy("tool_name", "status").agg(F.count("*").alias("n"))
+
+
+@query("q120_vector_index", SQL["q50_knn_batch_topk"])
+def q120(spark, d):
+    e = table(spark, d, "embeddings")
+    index = vector.cell_index(e.withColumnRenamed("vec_id", "id"), 64)
+    return vector.knn_cells(index, e.where("vec_id < 20").withColumnRenamed("vec_id", "query_id"), 5).withColumn("distance", F.round("distance", 6))
+
+
+@query("q121_typed_actions", "SELECT conv_id || '-' || turn AS action_id, text AS content, CAST(turn AS BIGINT) AS input_tokens FROM conversations")
+def q121(spark, d):
+    stored = messages(spark, d).select("action_id", "action_type", F.to_json(F.struct(F.col("text").alias("content"), F.col("timestamp").cast("long").alias("input_tokens"))).alias("properties"))
+    return events.typed(stored).select("action_id", "content", "input_tokens")
+
+
+@query("q122_catalogue_of_information_schema", values([("customer", "c_custkey", "PRI"), ("orders", "o_orderkey", "PRI"), ("orders", "o_custkey", "MUL"), ("view_of_orders", "o_orderkey", "")], "tab, col, code"))
+def q122(spark, d):
+    columns = rows(spark, [("customer", "c_custkey", "bigint", "NO", 1), ("orders", "o_custkey", "bigint", "YES", 2), ("orders", "o_orderkey", "bigint", "NO", 1), ("view_of_orders", "o_orderkey", "bigint", "YES", 1)], "table_name string, column_name string, data_type string, is_nullable string, ordinal_position int")
+    kinds = rows(spark, [("customer", "BASE TABLE"), ("orders", "BASE TABLE"), ("view_of_orders", "VIEW")], "table_name string, table_type string")
+    keys = rows(spark, [("customer", "c_custkey", "customer_pk", "PRIMARY KEY", None, None), ("orders", "o_orderkey", "orders_pk", "PRIMARY KEY", None, None), ("orders", "o_custkey", "placed_fk", "FOREIGN KEY", "customer", "c_custkey")], "table_name string, column_name string, constraint_name string, constraint_type string, referenced_table string, referenced_column string")
+    c = C.Catalogue.from_information_schema(columns, kinds, keys)
+    assert [C.relation_name(r) for r in c.relationships()] == ["PLACED"] and c.tables["view_of_orders"].kind == "view"
+    return rows(spark, [(t.name, x.name, t.key_code(x.name)) for t in c.tables.values() for x in t.columns], "tab string, col string, code string")

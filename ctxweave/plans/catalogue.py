@@ -125,6 +125,28 @@ class Catalogue:
             found.append(Table(t.name, [Column(c.name, c.dataType, c.nullable, c.name in (primary or {}).get(t.name, [])) for c in columns], [ForeignKey(*fk) for fk in (foreign or {}).get(t.name, [])], view=t.tableType == "VIEW"))
         return cls(found)
 
+    @classmethod
+    def from_information_schema(cls, columns: DataFrame, tables: DataFrame, keys: DataFrame, counts: dict[str, int] | None = None) -> Catalogue:
+        """What a live database's information schema lists, read by JDBC like any other table.
+
+        columns: table_name, column_name, data_type, is_nullable, ordinal_position;
+        tables: table_name, table_type; keys: table_name, column_name, constraint_name,
+        constraint_type, referenced_table, referenced_column, in the order of the key's
+        columns. They have a row a column, so they are collected; the tables themselves
+        are not read.
+        """
+        held = keys.collect()
+        of = lambda t, kind: [k for k in held if k["table_name"] == t and k["constraint_type"] == kind]
+        found = []
+        listed = sorted(columns.collect(), key=lambda r: (r["table_name"], r["ordinal_position"]))
+        for t in sorted(tables.collect(), key=lambda r: r["table_name"]):
+            name = t["table_name"]
+            primary = {k["column_name"] for k in of(name, "PRIMARY KEY")}
+            cols = [Column(r["column_name"], r["data_type"], r["is_nullable"] == "YES", r["column_name"] in primary) for r in listed if r["table_name"] == name]
+            foreign = [ForeignKey(k["column_name"], k["referenced_table"], k["referenced_column"], k["constraint_name"]) for k in of(name, "FOREIGN KEY")]
+            found.append(Table(name, cols, foreign, rows=(counts or {}).get(name), view="VIEW" in t["table_type"], unique={k["column_name"] for k in of(name, "UNIQUE")}))
+        return cls(found)
+
     def relationships(self) -> list[Relationship]:
         """One-to-many for each foreign key of an entity, many-to-many for each join table's first two. Keys of several columns stay whole."""
         out = []

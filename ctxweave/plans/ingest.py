@@ -69,19 +69,20 @@ class Result:
     errors: dict[str, str] = field(default_factory=dict)
 
 
-def ingest(model: GraphModel, catalogue: Catalogue, frames: dict[str, DataFrame], write, only_nodes: set[str] | None = None, only_edges: set[tuple] | None = None) -> Result:
+def ingest(model: GraphModel, catalogue: Catalogue, frames: dict[str, DataFrame], write, only_nodes: set[str] | None = None, only_edges: set[tuple] | None = None, retries: int = 0) -> Result:
     """Loads what is planned; `write(name, frame)` stores each. An error of one is noted and the rest goes on.
 
     None means all; an empty set means none. Frames are lazy: errors of execution are
-    noted too if `write` runs what it is given, as a save does.
+    noted too if `write` runs what it is given, as a save does. A load that fails is
+    tried `retries` times more, so `write` should replace what a broken one left.
     """
     out = Result()
     for n in model.nodes:
         if n.source and (only_nodes is None or n.source in only_nodes):
-            _try(out, n.label, lambda n=n: write(n.label, load_node(n, frames[n.source])))
+            _try(out, n.label, lambda n=n: write(n.label, load_node(n, frames[n.source])), retries)
     for e in model.edges:
         if only_edges is None or e.key in only_edges:
-            _try(out, e.type, lambda e=e: write(e.type, load_edge(e, model, frames)))
+            _try(out, e.type, lambda e=e: write(e.type, load_edge(e, model, frames)), retries)
     return out
 
 
@@ -93,12 +94,15 @@ def load_edge(e: Edge, model: GraphModel, frames: dict[str, DataFrame]) -> DataF
     return load_fk_edge(frames[e.source], a.key, e.columns, frames[b.source], b.key, e.targets or None)
 
 
-def _try(out: Result, name: str, f) -> None:
-    try:
-        f()
-        out.done.append(name)
-    except Exception as e:  # noqa: BLE001  one table's failure is reported and doesn't stop the others
-        out.errors[name] = f"{type(e).__name__}: {str(e)[:500]}"
+def _try(out: Result, name: str, f, retries: int = 0) -> None:
+    for left in range(retries, -1, -1):
+        try:
+            f()
+            out.done.append(name)
+            return
+        except Exception as e:  # noqa: BLE001  one table's failure is reported and doesn't stop the others
+            if not left:
+                out.errors[name] = f"{type(e).__name__}: {str(e)[:500]}"
 
 
 # --- what to load again ---

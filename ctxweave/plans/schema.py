@@ -15,7 +15,8 @@ from ctxweave.plans.model import Index
 def property_profile(nodes: dict[str, DataFrame], examples: int = 3) -> DataFrame:
     """(label, property, type, non_null, total, filling_factor, examples): one pass a label.
 
-    Examples are the least few values.
+    Examples are up to three values, or `examples` if that is fewer: the shortest, the
+    least and the greatest.
     """
     parts = []
     for label, df in nodes.items():

@@ -143,6 +143,16 @@ def to_actions(events: DataFrame) -> DataFrame:
     )
 
 
+#: properties of a stored action that aren't strings
+TYPED = "tool_input string, result string, error_message string, agent_name string, agent_type string, content string, response string, input_tokens bigint, output_tokens bigint, from_agent string, to_agent string, error_type string, error_details string"
+
+
+def typed(actions: DataFrame, properties: str = "properties") -> DataFrame:
+    """Stored actions with their JSON properties as columns of their types; a property that an action lacks, or that has another type, is null."""
+    rest = [F.col(f"`{c}`") for c in actions.columns if c != properties]
+    return actions.select(*rest, F.from_json(properties, TYPED).alias("__p")).select(*rest, "__p.*")
+
+
 def type_labels(action_type: str | Column) -> Column:
     """Labels of an action: messages are Message and a label of their role."""
     c = F.col(action_type) if isinstance(action_type, str) else action_type

@@ -244,13 +244,17 @@ def test_entities(spark):
     assert linked.count() == 2
 
 
-def test_lsh_finds_near_vectors(spark):
+def test_cells_give_the_exact_neighbours(spark):
     rng = np.random.default_rng(3)
-    m = rng.normal(size=(200, 16))
-    v = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(m)], "id long, embedding array<double>")
-    q = spark.createDataFrame([(k, (m[k] + rng.normal(size=16) * 0.05).tolist()) for k in range(20)], "query_id long, embedding array<double>")
-    got = vector.knn_lsh(v, vector.lsh_index(v, 16, bits=8), q, 16, 1, bits=8).collect()
-    assert sum(r["query_id"] == r["id"] for r in got) >= 18
+    m = np.concatenate([rng.normal(size=(150, 16)), rng.normal(size=(5, 16)).repeat(30, axis=0) + rng.normal(size=(150, 16)) * 0.05])
+    v = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(m)] + [(900, None), (901, [0.0] * 16), (902, m[3].tolist())], "id long, embedding array<double>")
+    q = spark.createDataFrame([(k, (m[k] + rng.normal(size=16) * 0.3).tolist()) for k in range(0, 300, 9)] + [(500, None), (501, [0.0] * 16)], "query_id long, embedding array<double>")
+    want = sorted((r["query_id"], r["id"], round(r["distance"], 9), r["rank"]) for r in vector.knn_batch(v, q, 7).collect())
+    for cells, probe in ((40, 3), (3, 1), (1000, 1)):
+        index = vector.cell_index(v, cells)
+        got = sorted((r["query_id"], r["id"], round(r["distance"], 9), r["rank"]) for r in vector.knn_cells(index, q, 7, probe=probe).collect())
+        assert [x[:2] + x[3:] for x in got] == [x[:2] + x[3:] for x in want] and all(abs(x[2] - y[2]) < 1e-8 for x, y in zip(got, want))
+    assert vector.knn_cells(vector.cell_index(v.limit(0)), q).count() == 0 and vector.knn_cells(index, q, 1000).where("query_id = 0").count() == 301
 
 
 def test_skill_detection(spark):

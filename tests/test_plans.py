@@ -82,6 +82,14 @@ def test_ingest_and_checks(spark):
     assert [tuple(x) for x in got["PLACED"].collect()] == [(1, 1)] and [tuple(x) for x in got["ORDER_TAGS"].collect()] == [(1, 1)]
     assert ingest.ingest(m, shop(), frames, lambda *_: None, only_nodes=set(), only_edges=set()).done == []
     assert "Customers" in ingest.ingest(m, shop(), {k: v for k, v in frames.items() if k != "customers"}, lambda n, df: df.count()).errors
+    tries = []
+
+    def flaky(name, df):
+        tries.append(name)
+        if tries.count(name) < 3:
+            raise OSError("gone")
+
+    assert len(ingest.ingest(m, shop(), frames, flaky, retries=2).done) == 5 and tries.count("Tags") == 3
     nodes = {n.label: got[n.label] for n in m.nodes}
     issues = ingest.check_loaded(m, nodes, {e.type: got[e.type] for e in m.edges}, {"Customers": 2, "Tags": 9})
     assert [i.severity for i in issues] == [ingest.CRITICAL]

@@ -88,6 +88,14 @@ def test_a_log_survives_a_break_at_any_step(spark, tmp_path):
 
 
 def test_followed_by_stream(spark, tmp_path):
+    spark.conf.set("spark.sql.shuffle.partitions", 1)  # a state store for each, and few rows
+    try:
+        _followed_by_stream(spark, tmp_path)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def _followed_by_stream(spark, tmp_path):
     source = tmp_path / "in"
     E.to_actions(events(spark)).coalesce(1).write.json(str(source))
     a = spark.readStream.schema("session_id string, action_id string, timestamp string, tool_name string, is_error boolean").json(str(source))
