@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,12 +79,35 @@ def buckets(codes: np.ndarray, orders: tuple[int, ...], bits: int, used: np.ndar
     return b[last[b] == at]  # the last of each bucket, without sorting
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, bits: int = BITS, orders: tuple[int, ...] = ORDERS, smoothing: float = 1.0, least: int = LEAST, clear: float = 0.0, l2: float = 1e-3, rounds: int = 100, block: int = 2_000_000) -> Model:
+class Packed:
+    """Distinct buckets of texts, compressed, each unpacked when its turn comes."""
+
+    def __init__(self, texts: list[bytes]):
+        self.texts = texts
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        d = zstandard.ZstdDecompressor()
+        for t in self.texts:
+            planes = np.frombuffer(d.decompress(t), np.uint8)
+            yield np.cumsum(np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32)[:, 0], dtype=np.int32)
+
+    @staticmethod
+    def pack(b: np.ndarray) -> bytes:
+        """Differences of the sorted buckets, byte by byte, as most are small."""
+        gaps = np.diff(np.sort(b), prepend=0).astype(np.uint32)
+        return zstandard.compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def fit(rows: list[np.ndarray] | Packed, toxic: np.ndarray, bits: int = BITS, orders: tuple[int, ...] = ORDERS, smoothing: float = 1.0, least: int = LEAST, clear: float = 0.0, l2: float = 1e-3, rounds: int = 100, block: int = 2_000_000) -> Model:
     """Fit on the distinct buckets of each text. The classes weigh alike. With one class only, nothing is toxic.
 
     n-grams of fewer than `least` texts have no weight, as their ratio would be chance;
     `clear` leaves out those of a smaller log-count ratio, none unless it is given. Texts
-    are taken in blocks of about `block` features, so little is held beside them.
+    are taken in blocks of about `block` features, so little is held beside them, and
+    may come compressed.
     """
     size = 1 << bits
     y = np.asarray(toxic, np.float64)
@@ -97,11 +121,13 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, bits: int = BITS, orders: tup
     used = np.flatnonzero(ratio)
     place = np.zeros(size, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    rows = [place[b[ratio[b] != 0]] for b in rows]
-    ratio = ratio[used]
-    n = np.array([len(b) for b in rows])
-    flat, begin = np.concatenate(rows), np.cumsum(n) - n
-    del rows
+    flat, n, at = np.empty(int((p + q)[used].sum()), np.int32), np.zeros(len(rows), np.int64), 0
+    for k, b in enumerate(rows):
+        own = place[b[ratio[b] != 0]]
+        flat[at : at + len(own)] = own
+        n[k], at = len(own), at + len(own)
+    ratio, begin = ratio[used], np.cumsum(n) - n
+    del p, q, place
     of = begin // block
     blocks = [np.flatnonzero(of == k) for k in np.unique(of)]
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
@@ -137,7 +163,7 @@ def probability(model: Model, used: np.ndarray, text: str) -> float:
 def _features(orders: tuple[int, ...], bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [buckets(points(t), orders, bits).astype(np.int32).tobytes() for t in b.column(1).to_pylist()]
+            rows = [Packed.pack(buckets(points(t), orders, bits)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["toxic", "buckets"])
         release()
 
@@ -155,14 +181,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, orders
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(per_class) for y in (0, 1)]
     sample = parts[0].union(parts[1])  # at most 2 x per_class rows of 12 bytes
     texts = docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t")).where("t is not null").join(F.broadcast(sample), "i").select("y", "t")
-    got = texts.mapInArrow(_features(orders, bits), "toxic int, buckets binary").toArrow().combine_chunks()
-    if not got.num_rows:
-        return fit([], np.zeros(0), bits, orders)
-    column = got.column("buckets").cast(pa.large_binary()).combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 4
-    flat = np.frombuffer(column.buffers()[2], np.int32)
-    return fit([flat[x:y] for x, y in zip(offsets[:-1], offsets[1:])], np.array(got.column("toxic").to_pylist(), np.float64), bits, orders)
+    got = texts.mapInArrow(_features(orders, bits), "toxic int, buckets binary").toArrow()
+    packed, toxic = Packed(got.column("buckets").to_pylist()), np.array(got.column("toxic").to_pylist(), np.float64)
+    del got
+    model = fit(packed, toxic, bits, orders)
+    release()
+    return model
 
 
 def _scorer(model: Model, text_at: int, threshold: float):

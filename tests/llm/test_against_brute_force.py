@@ -114,14 +114,14 @@ def test_several_rows_of_one_turn_follow_role_and_text(spark):
 
 
 def test_a_very_long_conversation(spark):
-    """2,000 turns, a copy that leaves it in the middle, and one that ends there."""
-    d = spark.range(2000).selectExpr("explode(array(5L, 9L, 7L)) as conv_id", "id as turn", "'user' as role", "concat('t', id) as text")
-    d = d.where("conv_id <> 7 or turn < 1000").withColumn("text", d["text"]).selectExpr("conv_id", "turn", "role", "if(conv_id = 9 and turn >= 1000, concat(text, 'x'), text) as text")
+    """600 turns, a copy that leaves it in the middle, and one that ends there."""
+    d = spark.range(600).selectExpr("explode(array(5L, 9L, 7L)) as conv_id", "id as turn", "'user' as role", "concat('t', id) as text")
+    d = d.where("conv_id <> 7 or turn < 300").withColumn("text", d["text"]).selectExpr("conv_id", "turn", "role", "if(conv_id = 9 and turn >= 300, concat(text, 'x'), text) as text")
     got = sorted(chat.prefix_trees(d).collect(), key=lambda r: r["seq"])
-    assert [r["seq"] for r in got] == list(range(3000)) and {r["tree_id"] for r in got} == {5}
-    assert got[999]["conv_ids"] == [7] and got[1999]["conv_ids"] == [5] and got[2999]["conv_ids"] == [9] and sum(len(r["conv_ids"]) for r in got) == 3
-    left = got[2000]
-    assert left["depth"] == 1000 and [x["end"] for x in left["attention"]] == [r["end"] for r in got[:1000]] and left["position_ids"][0] == got[999]["end"] and left["start"] == got[1999]["end"]
+    assert [r["seq"] for r in got] == list(range(900)) and {r["tree_id"] for r in got} == {5}
+    assert got[299]["conv_ids"] == [7] and got[599]["conv_ids"] == [5] and got[899]["conv_ids"] == [9] and sum(len(r["conv_ids"]) for r in got) == 3
+    left = got[600]
+    assert left["depth"] == 300 and [x["end"] for x in left["attention"]] == [r["end"] for r in got[:300]] and left["position_ids"][0] == got[299]["end"] and left["start"] == got[599]["end"]
 
 
 # --- 3 ---
@@ -782,6 +782,16 @@ def test_toxicity_on_held_out_labels():
     assert caught > 0.82 and wrong < 0.005
 
 
+def test_packed_texts_are_the_same():
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 1 << 20, k)).astype(np.int32) for k in (0, 1, 2, 5000, 80_000)]
+    packed = toxicity.Packed([toxicity.Packed.pack(rng.permutation(b)) for b in rows])
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(packed, rows)) and len(packed) == 5
+    y = np.array([1, 0, 1, 0, 1])
+    a, b = toxicity.fit(rows, y, least=1), toxicity.fit(packed, y, least=1)
+    assert (a.weights == b.weights).all() and a.bias == b.bias and (a.weights != 0).any()
+
+
 def test_weights_are_scaled_by_log_count_ratios():
     rows = [np.array([1, 2]), np.array([1, 3]), np.array([2, 3]), np.array([3, 4])] * 5
     y = np.array([1, 1, 0, 0] * 5)
